@@ -2,7 +2,38 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+w AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM per),
+c AS (SELECT *, 3 * source_size AS cap FROM w),
+l AS (
+  SELECT *, (CAST((SELECT sum(source_size) FROM c) AS DOUBLE) - CAST(coalesce(sum(cap) OVER o, 0) AS DOUBLE))
+          / CAST((SELECT sum(weight) FROM c) - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level
+  FROM c
+  WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN CAST(cap AS DOUBLE) / weight <= level THEN CAST(cap AS DOUBLE) ELSE (SELECT max(level) FROM l) * weight END AS target
+  FROM l),
+b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM t),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM b),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN budget - passes * source_size ELSE 0 END AS rest FROM f),
+s AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized)
+SELECT s.doc_id, s.source, s.size, r.source_size, r.target,
+       CAST(r.passes * s.size + greatest(0, least(s.size, r.rest - s.start)) AS BIGINT) AS taken
+FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
+""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
