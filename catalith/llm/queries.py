@@ -35,6 +35,12 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), digests=True)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalith.llm.jaccard import Rule, jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalith.llm.language import identify
 
