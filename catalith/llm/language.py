@@ -72,8 +72,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     kinds = [words.select("lang", F.lit(0).alias("kind"), "feature", "n")]
     padded = F.concat(F.lit(" "), F.col("feature"), F.lit(" "))
     for order in settings.orders:
-        cut = F.transform(F.sequence(F.lit(1), F.length(padded) - order + 1), lambda i, order=order: F.substring(padded, i, order))
-        grams = words.where(F.length(padded) >= order).select("lang", F.explode(cut).alias("feature"), "n").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+        starts = words.where(F.length(padded) >= order).select("lang", padded.alias("padded"), "n", F.explode(F.sequence(F.lit(1), F.length(padded) - order + 1)).alias("at"))
+        grams = starts.groupBy("lang", F.substring("padded", F.col("at"), F.lit(order)).alias("feature")).agg(F.sum("n").alias("n"))
         kinds.append(grams.select("lang", F.lit(order).alias("kind"), "feature", "n"))
     table = kinds[0]
     for more in kinds[1:]:

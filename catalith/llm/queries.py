@@ -41,6 +41,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalith.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalith.llm.language import identify
 
