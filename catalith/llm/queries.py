@@ -29,18 +29,40 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``benchmark`` against every row of ``documents``."""
+    from catalith.llm.bm25 import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), k=10)
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalith.llm.bpe_codec import bpe_round_trip
 
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), digests=True)
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) make pair k."""
+    from pyspark.sql import functions as F
+
+    from catalith.llm.chat import preference_pairs
+
+    return preference_pairs(table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalith.llm.jaccard import Rule, jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalith.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalith.llm.pii import find_personal_data
 
