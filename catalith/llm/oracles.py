@@ -32,9 +32,87 @@ s AS (
 SELECT s.doc_id, s.source, s.size, r.source_size, r.target,
        CAST(r.passes * s.size + greatest(0, least(s.size, r.rest - s.start)) AS BIGINT) AS taken
 FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
+""",
+    "op3_bm25": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+  FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
+stats AS (SELECT count(*) AS n, (SELECT sum(len) FROM len) / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT query_id, term, count(*) AS qtf FROM (
+    SELECT item_id AS query_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+scored AS (
+  SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id), stats GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op5_preferences": r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS better, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, better ORDER BY turn, role, text) AS place,
+         '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body
+  FROM t),
+c AS (SELECT * FROM p WHERE better), r AS (SELECT * FROM p WHERE NOT better),
+b AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.place, r.place) AS place,
+         coalesce(c.role = r.role AND c.text = r.text, false) AS same
+  FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.place = r.place),
+n AS (SELECT pair_id, coalesce(min(place) FILTER (NOT same) - 1, max(place)) AS n FROM b GROUP BY pair_id),
+o AS (
+  SELECT p.*, n.n, CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS label FROM p JOIN n USING (pair_id))
+SELECT pair_id, n AS n_prompt_turns,
+       coalesce(string_agg(head || body, '' ORDER BY place) FILTER (better AND place <= n), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY place) FILTER (better AND place > n), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY place) FILTER (NOT better AND place > n), '') AS rejected,
+       coalesce(string_agg(length(head) || ':0,' || length(body) || label, ',' ORDER BY place) FILTER (better AND place > n), '') AS chosen_mask,
+       coalesce(string_agg(length(head) || ':0,' || length(body) || label, ',' ORDER BY place) FILTER (NOT better AND place > n), '') AS rejected_mask
+FROM o GROUP BY pair_id, n
 """,
 }
 
+ORACLES["op6_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
+def _licences() -> str:
+    """The same steps over the documents and the listed texts, then a join of digests."""
+    from catalith.llm.licences import STEPS, TEXTS
+
+    expression = "lower(coalesce(text, ''))"
+    for pattern, replacement in STEPS:
+        expression = f"regexp_replace({expression}, '{pattern}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEXTS.items()))
+    return f"""
+WITH known AS (SELECT licence, sha256({expression}) AS digest FROM (VALUES {rows}) AS v(licence, text)),
+d AS (SELECT doc_id, sha256({expression}) AS digest FROM documents)
+SELECT d.doc_id, d.digest, k.licence FROM d LEFT JOIN known k ON d.digest = k.digest
+"""
+
+
+ORACLES["op7_licences"] = _licences()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
