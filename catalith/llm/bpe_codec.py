@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.bpe import Splitter, alphabet_bytes
+from catalith.llm.common import bound_batches, map_batches, tidy
 
 #: Characters of text in a block; a document is never split.
-BLOCK_CHARS = 32_000_000
-#: Documents whose positions are packed together.
-CHUNK_DOCS = 256
+BLOCK_CHARS = 12_000_000
+#: Documents and word positions that are packed together, at most; a longer document stands alone.
+CHUNK_DOCS, CHUNK_WORDS = 256, 60_000
 #: Packets into which a block's distinct words are dealt.
 PACKETS = 256
 #: Distinct words that one encoder keeps; beyond it the table starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 1_000_000
 
 DICT = "packet int, block string, digest string, places binary, words binary"
 IDS = "block string, digest string, places binary, ids binary"
@@ -130,7 +132,7 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
                     rows.append((k, block, digest, pack(own), pack_words([raw[i] for i in own.tolist()])))
             yield batch_of(rows, DICT_ARROW)
 
-    return docs.mapInArrow(run, DICT)
+    return map_batches(docs, run, DICT)
 
 
 def word_positions(docs: DataFrame, path: str) -> DataFrame:
@@ -139,12 +141,16 @@ def word_positions(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, places, words in blocks(batches, path):
             digest = digest_of([as_bytes(w) for w in words])
-            for at in range(0, len(ids), CHUNK_DOCS):
-                own = places[at : at + CHUNK_DOCS]
-                row = (block, digest, ids[at : at + CHUNK_DOCS], pack(np.array([len(p) for p in own], np.uint32)), pack(np.concatenate(own)))
-                yield batch_of([row], SEQ_ARROW)
+            at = size = 0
+            for end in range(1, len(ids) + 1):
+                size += len(places[end - 1])
+                if end == len(ids) or end - at >= CHUNK_DOCS or size + len(places[end]) > CHUNK_WORDS:
+                    own = places[at:end]
+                    row = (block, digest, ids[at:end], pack(np.fromiter(map(len, own), np.uint32, len(own))), pack(np.concatenate(own)))
+                    yield batch_of([row], SEQ_ARROW)
+                    at, size = end, 0
 
-    return docs.mapInArrow(run, SEQ)
+    return map_batches(docs, run, SEQ)
 
 
 def encode_words(packets: DataFrame, path: str) -> DataFrame:
@@ -153,7 +159,7 @@ def encode_words(packets: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Splitter(path).tokenizer
         tokenizer.encode_special_tokens = True
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             rows = []
             for block, digest, places, words in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -164,16 +170,16 @@ def encode_words(packets: DataFrame, path: str) -> DataFrame:
                         known.clear()
                         new = words
                     marks = [w for w in new if w[:1] == b"\xff"]
-                    known.update((w, [int(w[1:])]) for w in marks)
+                    known.update((w, int(w[1:]).to_bytes(4, "little")) for w in marks)
                     new = [w for w in new if w[:1] != b"\xff"]
                     encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-                    known.update(zip(new, (e.ids for e in encoded), strict=True))
+                    known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded, strict=True))
                 ids = [known[w] for w in words]
-                flat = np.fromiter((i for own in ids for i in own), np.uint32)
-                rows.append((block, digest, places, pack(np.concatenate([np.fromiter(map(len, ids), np.uint32, len(ids)), flat]))))
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                rows.append((block, digest, places, pack(np.concatenate([sizes, np.frombuffer(b"".join(ids), "<u4")]))))
             yield batch_of(rows, IDS_ARROW)
 
-    return packets.mapInArrow(run, IDS)
+    return map_batches(packets, run, IDS)
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -241,7 +247,10 @@ def place_ids(ids: DataFrame, positions: DataFrame, path: str, digests: bool) ->
                 decoded = text[text_at[i] : text_at[i + 1]].decode("utf-8", "replace").encode()
                 own = raw[4 * a : 4 * b]
                 out.append((doc_id, b - a, hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digests else (doc_id, b - a, own, decoded))
-        return pa.Table.from_batches([batch_of(out, schema)])
+        table = pa.Table.from_batches([batch_of(out, schema)])
+        del left, right, out
+        tidy()
+        return table
 
     return ids.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(run, DIGESTS if digests else OUT)
 
@@ -264,6 +273,7 @@ def bpe_round_trip(docs: DataFrame, path: str, digests: bool = True) -> DataFram
     repeated rows.  ``docs`` must be a table (read twice, with the same rows): a
     block that changes between the reads raises an error rather than mixing ids.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packets = distinct_words(docs, path).repartition("packet")
     return place_ids(encode_words(packets, path), word_positions(docs, path), path, digests)
