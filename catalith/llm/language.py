@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.llm.common import map_batches
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -143,7 +145,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), run, SCHEMA)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -163,4 +165,4 @@ def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: flo
             kept = [judge(text)[1] >= least for text in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.bpe import PrefixTable, Splitter
+from catalith.llm.common import map_batches
 
 #: Words whose counts one worker keeps; beyond it the cache starts anew.
 CACHED_WORDS = 1_000_000
@@ -97,4 +98,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, SCHEMA)
