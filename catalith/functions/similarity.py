@@ -34,8 +34,22 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def may_reach(a: Column, b: Column, threshold: float) -> Column:
-    """A cheap test on lengths that every pair with that ratio passes."""
-    return 200.0 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b))
+    """A cheap test that every pair with that ratio passes.
+
+    The shorter length bounds the common subsequence, and the edit distance is at
+    most the insert-delete distance that the ratio allows.
+    """
+    total = F.length(a) + F.length(b)
+    return (200.0 * F.least(F.length(a), F.length(b)) >= threshold * total) & (F.levenshtein(a, b) <= (1 - threshold / 100.0) * total + 1e-9)
+
+
+def ratio_from(a: Column, b: Column, threshold: float) -> Column:
+    """The ratio, null where the cheap test already shows it below the threshold.
+
+    The test lies inside the expression, so it comes first wherever the optimizer
+    moves a filter on the ratio.
+    """
+    return F.when(may_reach(a, b, threshold), ratio(a, b))
 
 
 def token_ratio(a: Column, b: Column) -> Column:

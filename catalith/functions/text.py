@@ -26,6 +26,11 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def let(x: Column, f) -> Column:
+    """``f(x)`` with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def blank(x: Column) -> Column:
     """Null, or nothing but spaces."""
     return x.isNull() | (F.trim(x) == "")
@@ -121,10 +126,15 @@ def capitalised(x: Column) -> Column:
 
 def article_to_suffix(name: Column) -> Column:
     """``The X``, ``the X`` and ``X (the)`` become ``X, The``; protected names stay."""
-    s = stripped(name)
-    base = stripped(F.regexp_replace(s, _SUFFIX, ""))
-    bare = stripped(F.regexp_replace(base, r",+$", ""))
-    suffix = F.when(base.rlike(_COMMA), base).when(bare == "", s).otherwise(F.concat(bare, F.lit(", "), capitalised(F.regexp_extract(s, _SUFFIX, 1))))
+    return let(stripped(name), _article_to_suffix)
+
+
+def _article_to_suffix(s: Column) -> Column:
+    def suffixed(base: Column) -> Column:
+        bare = stripped(F.regexp_replace(base, r",+$", ""))
+        return F.when(base.rlike(_COMMA), base).when(bare == "", s).otherwise(F.concat(bare, F.lit(", "), capitalised(F.regexp_extract(s, _SUFFIX, 1))))
+
+    suffix = let(stripped(F.regexp_replace(s, _SUFFIX, "")), suffixed)
     rest = stripped(F.regexp_replace(s, _LEADING, ""))
     return (
         F.when(is_in(F.lower(s), V.PROTECTED_ARTISTS), s)
@@ -137,8 +147,10 @@ def article_to_suffix(name: Column) -> Column:
 
 def natural_form(name: Column) -> Column:
     """The spoken form: ``Beatles, The`` and ``Beatles, The (the)`` become ``The Beatles``."""
-    s = stripped(name)
+    return let(stripped(name), _natural_form)
+
 
+def _natural_form(s: Column) -> Column:
     def front(pattern: str, base: Column) -> Column:
         return F.when(base == "", s).otherwise(F.concat(capitalised(F.regexp_extract(s, pattern, 1)), F.lit(" "), base))
 
@@ -161,10 +173,14 @@ def title_case(x: Column) -> Column:
     special = F.regexp_replace(x, r"\b([Rr])ock\s*['`]?\s*[Nn]\s*['`]?\s*[Rr]oll\b", "$1ock 'n' Roll")
     special = F.regexp_replace(special, r"(?i)\bR\s*['`&]\s*B\b", "R&B")
     special = F.regexp_replace(special, r"(?i)\b(?:ft|feat)\b\.?", "feat.")
-    words = F.split(stripped(special), r"\s+")
+    return F.when(stripped(x) == "", x).otherwise(let(F.split(stripped(special), r"\s+"), _cased_words))
+
+
+def _cased_words(words: Column) -> Column:
+    parts = F.transform(words, lambda w: F.struct(w.alias("word"), F.regexp_replace(w, rf"^[{_EDGE}]+|[{_EDGE}]+$", "").alias("clean")))
 
-    def one(word: Column, i: Column) -> Column:
-        clean = F.regexp_replace(word, rf"^[{_EDGE}]+|[{_EDGE}]+$", "")
+    def one(part: Column, i: Column) -> Column:
+        word, clean = part["word"], part["clean"]
         upper = F.upper(clean)
         kept = F.when(clean == "", word).otherwise(F.replace(word, clean, upper))
         roman = (clean != "") & all_caps(clean) & ~is_in(upper, V.ROMAN_FALSE_FRIENDS) & upper.rlike(_ROMAN)
@@ -176,7 +192,7 @@ def title_case(x: Column) -> Column:
             .otherwise(capitalised(word))
         )
 
-    return F.when(stripped(special) == "", x).otherwise(F.array_join(F.transform(words, one), " "))
+    return F.array_join(F.transform(parts, one), " ")
 
 
 def changed(old: Column, new: Column) -> Column:
@@ -216,7 +232,7 @@ def path_component(x: Column) -> Column:
     s = plain_typography(F.translate(F.coalesce(x, F.lit("")), "`", "'"))
     s = F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), r'[\\/:*?"<>|]', "_")
     s = F.regexp_replace(squeezed(s), r"^[. ]+|[. ]+$", "")
-    return F.when(s == "", "Unknown").when(is_in(F.upper(F.split_part(s, F.lit("."), F.lit(1))), V.RESERVED_NAMES), F.concat(F.lit("_"), s)).otherwise(s)
+    return let(s, lambda v: F.when(v == "", "Unknown").when(is_in(F.upper(F.split_part(v, F.lit("."), F.lit(1))), V.RESERVED_NAMES), F.concat(F.lit("_"), v)).otherwise(v))
 
 
 def folder_name(x: Column, limit: int = 120, default: str = "_unknown_") -> Column:
@@ -236,9 +252,12 @@ TRACK_PREFIXES = (
 
 def without_track_number(x: Column) -> Column:
     """The first prefix that goes and leaves something, else the text itself."""
-    s = stripped(x)
-    tries = [stripped(F.regexp_replace(s, p, "")) for p in TRACK_PREFIXES]
-    return F.coalesce(*[F.when((t != "") & (t != s), t) for t in tries], s)
+
+    def shortest(s: Column) -> Column:
+        tries = F.array(*[stripped(F.regexp_replace(s, p, "")) for p in TRACK_PREFIXES])
+        return F.coalesce(F.get(F.filter(tries, lambda t: (t != "") & (t != s)), F.lit(0)), s)
+
+    return let(stripped(x), shortest)
 
 
 def track_filename(artist: Column, title: Column, ext: Column) -> Column:
@@ -288,12 +307,19 @@ def _unless_protected(x: Column, then: Column, names) -> Column:
 
 def without_guests(x: Column) -> Column:
     """Guest credits and comma tails go, ``and`` becomes ``&``; protected names stay."""
-    raw = stripped(F.coalesce(x, F.lit("")))
-    solo = stripped(F.regexp_replace(raw, _GUEST, ""))
-    head = F.when(solo.contains("&"), solo).otherwise(_before_comma(solo))
-    joined = F.regexp_replace(head, r"(?i)\band\b", "&")
-    keep = lambda x, then: _unless_protected(x, then, V.PROTECTED_FULL_NAMES)
-    return keep(raw, keep(solo, keep(head, joined)))
+    steps = (
+        lambda s: stripped(F.regexp_replace(s, _GUEST, "")),
+        lambda s: F.when(s.contains("&"), s).otherwise(_before_comma(s)),
+        lambda s: F.regexp_replace(s, r"(?i)\band\b", "&"),
+    )
+    return _through(stripped(F.coalesce(x, F.lit(""))), steps, V.PROTECTED_FULL_NAMES)
+
+
+def _through(x: Column, steps, names) -> Column:
+    """Apply the steps in turn; a protected name stops them."""
+    for step in steps:
+        x = let(x, lambda v, step=step: _unless_protected(v, step(v), names))
+    return x
 
 
 def consolidation_key(x: Column) -> Column:
@@ -330,10 +356,7 @@ def primary_artist(x: Column) -> Column:
         lambda s: F.coalesce(F.element_at(_dash_parts(s), 1), s),
         _before_comma,
     ]
-    done = [raw]
-    for step in steps:
-        done.append(_unless_protected(done[-1], step(done[-1]), V.FOLDER_PROTECTED))
-    return F.when(done[-1] == "", "Unknown Artist").otherwise(done[-1])
+    return let(_through(raw, steps, V.FOLDER_PROTECTED), lambda v: F.when(v == "", "Unknown Artist").otherwise(v))
 
 
 def _dash_parts(s: Column) -> Column:
@@ -404,9 +427,11 @@ def extinf(artist: Column, title: Column, path: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """One decimal, halves to even."""
+    tenth = lambda power: F.bround(n / 1024.0**power, 1)
+    out = F.format_string("%.1f TB", tenth(4))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", tenth(power))).otherwise(out)
     return out
 
 

@@ -95,10 +95,9 @@ def near_pairs(df: DataFrame, threshold: float = V.NEAR_TITLE, excluded: DataFra
     rows = rows.select("file_path", text.near_key(F.col("artist")).alias("artist_key"), text.near_key(F.col("title"), title=True).alias("title_key"), text.live(F.col("title")).alias("live"))
     keys = rows.select("artist_key", "title_key").distinct()
     a, b = keys.alias("a"), keys.alias("b")
-    fits = similarity.may_reach(F.col("a.title_key"), F.col("b.title_key"), threshold)
-    pairs = a.join(b, (F.col("a.artist_key") == F.col("b.artist_key")) & (F.col("a.title_key") <= F.col("b.title_key")) & fits)
+    pairs = a.join(b, (F.col("a.artist_key") == F.col("b.artist_key")) & (F.col("a.title_key") <= F.col("b.title_key")))
     pairs = pairs.select("a.artist_key", F.col("a.title_key").alias("x"), F.col("b.title_key").alias("y"))
-    pairs = pairs.withColumn("score", F.round(similarity.ratio(F.col("x"), F.col("y")), 4)).where(F.col("score") >= threshold)
+    pairs = pairs.withColumn("score", F.round(similarity.ratio_from(F.col("x"), F.col("y"), threshold), 4)).where(F.col("score") >= threshold)
     left = rows.select("artist_key", F.col("title_key").alias("x"), F.col("file_path").alias("p"), F.col("live").alias("p_live"))
     right = rows.select("artist_key", F.col("title_key").alias("y"), F.col("file_path").alias("q"), F.col("live").alias("q_live"))
     files = pairs.join(left, ["artist_key", "x"]).join(right, ["artist_key", "y"]).where(F.col("p") != F.col("q"))

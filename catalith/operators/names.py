@@ -20,7 +20,7 @@ def best_candidate(queries: DataFrame, candidates: DataFrame, threshold: float,
     lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n * threshold / (200.0 - threshold)).cast("int")), F.greatest(F.lit(1), F.floor(n * (200.0 - threshold) / threshold).cast("int")))
     q = queries.where(n > 0).select("q", F.explode(lengths).alias("len"))
     c = candidates.select("c", F.length("c").alias("len"))
-    scored = q.join(c, "len").withColumn("score", similarity.ratio(F.col("q"), F.col("c"))).where(F.col("score") >= threshold)
+    scored = q.join(c, "len").withColumn("score", similarity.ratio_from(F.col("q"), F.col("c"), threshold)).where(F.col("score") >= threshold)
     best = scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "c")).alias("b"))
     return best.select("q", F.col("b.c").alias("c"), (-F.col("b.s")).alias("score"))
 

@@ -234,7 +234,7 @@ _NEXT = "n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS x, b.
 SQL["fuzzy_ratio"] = f"WITH {_NEXT} SELECT x, y, CAST(round({ratio('x', 'y')}, 4) AS DOUBLE) AS score FROM p"
 SQL["fuzzy_token"] = f"WITH {_NEXT}, t AS (SELECT x, y, array_to_string(list_sort(string_split(x, ' ')), ' ') AS tx, array_to_string(list_sort(string_split(y, ' ')), ' ') AS ty FROM p) SELECT x, y, CAST(round({ratio('tx', 'ty')}, 4) AS DOUBLE) AS score FROM t"
 on_archive("audio_arithmetic", """SELECT id, -18.0::DOUBLE - lufs AS gain, round(pow(10, lufs_tp / 20), 6) AS peak, CAST(round_even((-18.0::DOUBLE - lufs) * 256, 0) AS BIGINT) AS q78,
-  CASE WHEN lufs * 3 <= -70 THEN 'silence' ELSE 'ok' END AS state, CAST(greatest(120, ceil(coalesce(duration * greatest(1, sample_rate / 48000), 0)) + 30) AS BIGINT) AS hash_timeout, bitrate // 1000 AS kbps,
+  CASE WHEN lufs * 3 <= -70 THEN 'silence' ELSE 'ok' END AS state, CAST(greatest(120, ceil(duration * greatest(1, sample_rate / 48000)) + 30) AS BIGINT) AS hash_timeout, bitrate // 1000 AS kbps,
   CASE WHEN size_bytes < 1024 THEN printf('%.1f B', size_bytes::DOUBLE) WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024) ELSE printf('%.1f MB', size_bytes / 1048576) END AS size FROM archive""")
 on_archive("path_status", "SELECT id, CASE WHEN instr(file_path, '/DUPES_MOVED_FOR_REVIEW/') > 0 THEN 'DUPE_REVIEW' WHEN instr(file_path, '/TRIBUTE_REMOVED_FOR_REVIEW/') > 0 THEN 'TRIBUTE_REVIEW' ELSE 'CATALOGUED' END AS path_status, replace(file_path, '/DUPES_MOVED_FOR_REVIEW/', '/') AS library_path FROM archive")
 on_archive("probe_flatten", "SELECT id, trim(coalesce(nullif(title, ''), 'stream title')) AS title, trim(nullif(artist, '')) AS artist, year, track, duration, bitrate, sample_rate, channels, codec FROM archive")
@@ -295,10 +295,10 @@ SELECT raw, coalesce(g, m, near) AS canonical, CASE WHEN g IS NOT NULL THEN 'all
     the = r"(regexp_matches(clean, '(?i)^\s*the\s+') OR regexp_matches(clean, '(?i),\s*the\s*$') OR regexp_matches(clean, '(?i)\(\s*the\s*\)\s*$'))"
     on_archive("consolidate_artists", f"""g0 AS (SELECT artist AS raw, count(*) AS n FROM archive WHERE status = 'CATALOGUED' AND trim(artist) <> '' GROUP BY 1), {_GUESTLESS},
 c AS (SELECT *, {the} AS art FROM g5 WHERE clean <> ''),
-r AS (SELECT *, count(*) OVER (PARTITION BY key) AS spellings, bool_or(art) OVER (PARTITION BY key) AS some, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(clean) DESC, lower(clean), clean) AS rk,
+r AS (SELECT *, count(*) OVER (PARTITION BY key) AS spellings, bool_or(art) OVER (PARTITION BY key) AS has_art, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(clean) DESC, lower(clean), clean) AS rk,
   CASE WHEN art THEN NULL ELSE row_number() OVER (PARTITION BY key, art ORDER BY n DESC, length(clean) DESC, lower(clean), clean) END AS bare_rk FROM c),
-b AS (SELECT key, max(some) AS some, max(CASE WHEN rk = 1 THEN clean END) AS best, max(CASE WHEN bare_rk = 1 THEN clean END) AS bare FROM r WHERE spellings > 1 GROUP BY key),
-w AS (SELECT key, CASE key {shown} ELSE CASE WHEN some AND bare IS NOT NULL THEN {display_title('bare')} || ', The' ELSE {display_title('best')} END END AS new FROM b)
+b AS (SELECT key, bool_or(has_art) AS has_art, max(CASE WHEN rk = 1 THEN clean END) AS best, max(CASE WHEN bare_rk = 1 THEN clean END) AS bare FROM r WHERE spellings > 1 GROUP BY key),
+w AS (SELECT key, CASE key {shown} ELSE CASE WHEN has_art AND bare IS NOT NULL THEN {display_title('bare')} || ', The' ELSE {display_title('best')} END END AS new FROM b)
 SELECT raw AS old, new, n FROM r JOIN w USING (key) WHERE raw <> new""")
 
 
