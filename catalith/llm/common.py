@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: What separates words wherever this subpackage counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -41,11 +43,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-computation,
-    and a table used several times is computed once.
+    and a table used several times is computed once.  Nothing reads the shuffles
+    behind the table again, so Spark removes their files when the write is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

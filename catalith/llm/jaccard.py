@@ -3,20 +3,22 @@
 A document's set holds the 64-bit hashes of its distinct n-word shingles.
 Documents with equal sets are one class; one representative of each class goes on.
 
-Tokens stand in one global order, rare ones first (tokens of an estimated document
-share of 1/2000 and more come last, the commonest at the end).  Two sets that link
-share a token among the first ``n - ceil(t * n) + 1`` of each, so only these are
-posted.  Posted tokens that several documents share form the rows of the
-token-group matrix:
-
-1. the head of each such row (most copies, then smallest id) opens for the row's
-   other documents, which draws near copies together into groups;
-2. each group's token union is stored, in parts of bounded size; a document of
-   another group that shares a posted token gets the bound ``|Q & union| >= t |Q|``,
-   and only groups that reach it are opened and compared exactly.
-
-Documents that are connected already aren't compared again, so a group of m near
-copies costs about m comparisons, not m * m.  No link between groups is lost.
+Tokens stand in one global order: those whose hash lies in a band (a fifth of all
+for a threshold of 0.9) by the exact number of representatives that hold them, then
+the others by hash.  Two sets that link share a token among the first
+``n - ceil(t * n) + 1`` of each, so only these are posted.  Tokens that one set alone
+holds come first and are only counted, so a document that has enough of its own is
+done; posted tokens that several documents share form the rows of the matrix:
+
+1. the head of each such row (most copies, then smallest id) draws the row's other
+   documents into its group of similar documents and is compared with them, which
+   connects most near copies at a cost in proportion to their number;
+2. within a group, documents that aren't connected yet meet in blocks.  The block's
+   token union gives each pair a bound on its overlap; only documents whose bound
+   reaches the threshold are opened, with their whole sets, and compared exactly.
+
+Two documents that share a posted token are in that token's group, so no link
+between groups is lost, and pairs exist only inside a block of a task.
 """
 
 from __future__ import annotations
@@ -27,20 +29,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import written
+from catalith.llm.common import bound_batches, map_batches, tidy, written
 
 #: Members of one part of a group, and queries that meet it in one task, at most.
 PART = 512
-#: Documents whose tokens are counted together before the counts are shuffled.
-COUNTED_TOKENS = 4_000_000
-#: A token in at least this share of the documents comes late in the order.
-COMMON_SHARE = 1 / 2000
-COMMON_LEAST = 16
-#: Common tokens that are told apart, at most; more raise the share.  Only speed depends on it.
-COMMON_KEPT = 1 << 20
+#: Columns of the token-group matrix that are held at once.
+MATRIX_COLUMNS = 4096
 #: Words of 64 bits in the filter that keeps unwanted texts out of a shuffle.
 FILTER_WORDS = 1 << 17
 
@@ -60,6 +57,14 @@ class Rule:
     def links(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common) and common > 0
 
+    @property
+    def band(self) -> int:
+        """Hashes below it are in the band: somewhat more tokens than are posted.
+
+        At most half of all, as Spark orders the hashes as signed numbers.
+        """
+        return int(min(0.499, 1.5 * (1 - self.num / self.den) + 0.05) * 2**64) - 1
+
     def needed(self, n: int) -> int:
         return -(-n * self.num // self.den)
 
@@ -100,89 +105,52 @@ def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-SETS = "doc_id long, n long, sig binary, token long, df long"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("token", pa.int64()), ("df", pa.int64())])
-_PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+SETS = "doc_id long, n long, posts long, sig binary, band array<long>, extra array<long>"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("posts", pa.int64()), ("sig", pa.binary()), ("band", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64()))])
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
 def scan_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row (doc_id, n, sig) for each document, and rows (token, df) of tokens met in three texts and more of a task."""
+    """For each document its set's size, digest, number of tokens to post, and the tokens to post from.
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, df = np.unique(np.concatenate(sets), return_counts=True)
-        often = df >= 3
-        k = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(df[often].astype(np.int64))], schema=_SETS)
+    ``band`` has the tokens of the band; where these are fewer than are to be
+    posted, ``extra`` has the next ones by hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        limit = np.uint64(rule.band)
         for batch in batches:
-            ns, sigs = [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, rule.words)
-                sig = signature(tokens)
-                ns.append(len(tokens))
-                sigs.append(sig)
-                if len(tokens) and sig not in seen:
-                    seen.add(sig)
-                    held.append(tokens)
-                    size += len(tokens)
-                if size >= COUNTED_TOKENS:
-                    yield counted(held)
-                    held, size, seen = [], 0, set()
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=_SETS)
-        if held:
-            yield counted(held)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
-
-
-def common_tokens(counts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common tokens and their estimated counts; at most COMMON_KEPT, whatever the input."""
-    totals = counts.groupBy("token").agg(F.sum("df").alias("df"))
-    least = max(COMMON_LEAST, int(n_docs * COMMON_SHARE))
-    totals = totals.where(F.col("df") >= least)
-    while totals.count() > COMMON_KEPT:
-        least *= 2
-        totals = totals.where(F.col("df") >= least)
-    found = totals.toArrow()
-    tokens = found.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], found.column("df").to_numpy()[order]
-
-
-def prefix(tokens: np.ndarray, rule: Rule, common: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """The first tokens in the global order; two sets that link share one of them."""
-    length = len(tokens) - rule.needed(len(tokens)) + 1
-    if not len(common):
-        return tokens[:length]
-    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    hot = common[at] == tokens
-    rare = tokens[~hot]
-    if len(rare) >= length:
-        return rare[:length]
-    late = tokens[hot][np.lexsort((tokens[hot], df[at[hot]]))]
-    return np.concatenate([rare, late[: length - len(rare)]])
-
-
-def scan_prefixes(docs: DataFrame, rule: Rule, common: np.ndarray, df: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((common, df))
+            sets = [shingle_set(text, rule.words) for text in batch.column(1).to_pylist()]
+            posts = [len(t) - rule.needed(len(t)) + 1 if len(t) else 0 for t in sets]
+            inside = [int(np.searchsorted(t, limit, "right")) for t in sets]
+            lists = lambda parts: pa.array([t.view(np.int64) for t in parts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(posts, pa.int64()), pa.array(map(signature, sets), pa.binary()), lists(t[:k] for t, k in zip(sets, inside, strict=True)), lists(t[k:p] for t, k, p in zip(sets, inside, posts, strict=True))],
+                schema=_SETS,
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, df = shared.value
-        for batch in batches:
-            ids, ns, tokens = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = shingle_set(text, rule.words)
-                if len(own):
-                    ids.append(doc_id)
-                    ns.append(len(own))
-                    tokens.append(prefix(own, rule, common, df).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=_PREFIX)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SETS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, tokens array<long>")
+
+def post(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The posted tokens (token, doc_id, n, copies) of representatives, and what is known of each.
+
+    ``sets`` has doc_id, n, posts, copies, band, extra.  Known of a document are the
+    tokens of the band that it alone holds (their number), the posted ones it
+    shares, as (df, token) in order, and whether these are all it shares.
+    """
+    rows = sets.select("doc_id", F.explode("band").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("doc_id")
+    ranked = rows.join(counts, "token").withColumns({"place": F.row_number().over(own.orderBy("df", "token")), "shared": F.count("*").over(own)})
+    about = sets.select("doc_id", "n", "posts", "copies", F.size("band").alias("inside"))
+    ranked = ranked.join(about, "doc_id").withColumn("alone", F.col("inside") - F.col("shared")).where(F.col("alone") + F.col("place") <= F.col("posts"))
+    ranked = written(ranked.select("token", "df", "doc_id", "n", "copies", "alone", (F.col("alone") + F.col("shared") <= F.col("posts")).alias("complete")), "jaccard-posts")
+    extra = sets.where(F.size("extra") > 0).select(F.explode("extra").alias("token"), "doc_id", "n", "copies")
+    known = ranked.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("complete").alias("complete"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("posted"))
+    only = sets.where(F.size("extra") > 0).select("doc_id", "n").join(ranked.select("doc_id").distinct(), "doc_id", "left_anti")
+    only = only.select("doc_id", "n", F.lit(0).alias("alone"), F.lit(True).alias("complete"), F.array().cast("array<struct<df:bigint,token:bigint>>").alias("posted"))
+    return ranked.select("token", "doc_id", "n", "copies").unionByName(extra), written(known.unionByName(only), "jaccard-known")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -212,54 +180,166 @@ def scan_wanted(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(doc_id, "text").select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h1"), F.xxhash64("doc_id", F.lit(2)).alias("h2"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, tokens binary")
+    return map_batches(rows, run, "doc_id long, n long, tokens binary")
+
+
+Known = tuple[int, int, bool, np.ndarray]  # size of the set, tokens it alone holds, whether all shared ones are posted, their keys in order
+
 
+def keys(posted: list[dict]) -> np.ndarray:
+    """(df, token) as one number that keeps the order."""
+    df = np.fromiter((x["df"] for x in posted), np.uint64, len(posted))
+    token = np.fromiter((x["token"] for x in posted), np.int64, len(posted)).view(np.uint64)
+    return np.unique((np.minimum(df, np.uint64(2**24 - 1)) << np.uint64(40)) | (token >> np.uint64(24)))
 
-def open_groups(docs: DataFrame, rule: Rule, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (a, b) between the queries (grp, doc_id) and the members (grp, doc_id) of each group.
 
-    A group is kept in parts of PART members with the union of their tokens; its
-    queries come in lots of PART.  A query opens a part only if its overlap with
-    the union reaches the bound, and gives one link for each part it belongs to,
-    as the members of a group are connected already.
+def may_link(rule: Rule, xs: list[Known], ys: list[Known]) -> np.ndarray:
+    """Which of the xs may link with which of the ys, by what is known of their tokens.
+
+    The token-group matrix of a block: rows are documents, columns the posted tokens
+    that the two sides share.  A posted token that comes before the end of what the
+    other document posts, yet isn't posted there, isn't in the other set at all; nor
+    is a token that one set alone holds.
     """
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
-
-    n_parts, n_lots = parts(members, "n_parts"), parts(queries, "n_lots")
-    counts = n_parts.join(n_lots, "grp")
-    own = lambda seed, n: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = members.join(counts, "grp").withColumn("part", own(3, "n_parts")).withColumn("lot", spread("n_lots")).withColumn("asks", F.lit(False))
-    q = queries.join(counts, "grp").withColumn("lot", own(4, "n_lots")).withColumn("part", spread("n_parts")).withColumn("asks", F.lit(True))
-    places = written(m.select("grp", "part", "lot", "doc_id", "asks").unionByName(q.select("grp", "part", "lot", "doc_id", "asks")), "jaccard-places")
+    n, m = np.array([x[0] for x in xs])[:, None], np.array([y[0] for y in ys])[None, :]
+    left, right = [x[3] for x in xs], [y[3] for y in ys]
+    union = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    both = np.zeros((len(xs), len(ys)), np.float32)
+
+    def cells(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(columns)), np.float32)
+        for i, tokens in enumerate(rows):
+            at = np.minimum(np.searchsorted(columns, tokens), len(columns) - 1)
+            out[i, at[columns[at] == tokens]] = 1
+        return out
+
+    for at in range(0, len(union), MATRIX_COLUMNS):
+        columns = union[at : at + MATRIX_COLUMNS]
+        both += cells(left, columns) @ cells(right, columns).T
+    ends = lambda known: np.array([2**64 - 1 if k[2] or not len(k[3]) else k[3][-1] for k in known], np.uint64)
+    x_ends, y_ends = ends(xs), ends(ys)
+    x_missing = np.stack([np.searchsorted(x[3], y_ends, "right") + x[1] for x in xs]) - both
+    y_missing = np.stack([np.searchsorted(y[3], x_ends, "right") + y[1] for y in ys], axis=1) - both
+    need = -(-rule.num * (n + m) // (rule.num + rule.den))
+    sized = rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)
+    return sized & (n - x_missing >= need) & (m - y_missing >= need)
+
+
+def knowns(group: pa.Table) -> list[Known]:
+    return [(n, a, c, keys(p)) for n, a, c, p in zip(*(group.column(x).to_pylist() for x in ("n", "alone", "complete", "posted")), strict=True)]
+
+
+def exact(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
+    if rule.den * min(len(a), len(b)) < rule.num * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return rule.links(int((b[at] == a).sum()), len(a), len(b))
+
+
+def hashed(seed: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def numbers(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def open_heads(docs: DataFrame, rule: Rule, known: DataFrame, star: DataFrame) -> DataFrame:
+    """Links (a, b) of the heads a with the documents b of their groups: (grp, doc_id) in ``star``.
+
+    A head meets its documents in lots of PART.  What the posted tokens rule out
+    goes before whole sets are fetched.
+    """
+    bound_batches(docs.sparkSession)
+    lots = star.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias("lots"))
+    asked = star.join(lots, "grp").select("grp", hashed(4, "lots").alias("lot"), "doc_id", F.lit(False).alias("head"))
+    heads = lots.select("grp", numbers("lots").alias("lot"), F.col("grp").alias("doc_id"), F.lit(True).alias("head"))
+    places = heads.unionByName(asked)
+
+    def bound(group: pa.Table) -> pa.Table:
+        sets, head = knowns(group), np.array(group.column("head").to_pylist(), bool)
+        fine = np.zeros(len(sets), bool)
+        h, d = np.flatnonzero(head), np.flatnonzero(~head)
+        if len(h) and len(d):
+            fine[d] = may_link(rule, [sets[h[0]]], [sets[i] for i in d])[0]
+            fine[h] = fine[d].any()
+        return group.select(["grp", "lot", "doc_id", "head"]).filter(pa.array(fine))
+
+    places = written(places.join(known, "doc_id").groupBy("grp", "lot").applyInArrow(bound, "grp long, lot int, doc_id long, head boolean"), "jaccard-heads")
+    rows = places.join(scan_wanted(docs, rule, places.select("doc_id").distinct()), "doc_id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, head = group.column("doc_id").to_pylist(), group.column("head").to_pylist()
+        sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+        a, b = [], []
+        for h in (i for i, x in enumerate(head) if x):
+            b += [ids[i] for i, x in enumerate(head) if not x and exact(rule, sets[i], sets[h])]
+            a += [ids[h]] * (len(b) - len(a))
+        if len(ids) > PART // 4:
+            tidy()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return written(rows.groupBy("grp", "lot").applyInArrow(run, "a long, b long"), "jaccard-links")
+
+
+MEMBERS = "grp long, low int, high int, part int, doc_id long, label long"
+
+
+def open_groups(docs: DataFrame, rule: Rule, known: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between members (grp, doc_id, label) of a group that aren't connected yet.
+
+    A group is kept in parts of PART members; each pair of parts meets in one task
+    as a token-group matrix.  Only documents that the bound lets link with one of
+    another label are opened, which is where whole sets are fetched and compared.
+    One link for each pair of labels is enough.
+    """
+    bound_batches(docs.sparkSession)
+    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = members.join(parts, "grp").withColumn("part", hashed(3, "parts")).withColumn("other", numbers("parts"))
+    places = dealt.select("grp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "label")
+
+    def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        part = group.column("part").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        return np.flatnonzero(part == low), np.flatnonzero(part == high)
+
+    def bound(group: pa.Table) -> pa.Table:
+        sets, label = knowns(group), group.column("label").to_numpy()
+        x, y = sides(group)
+        fine = np.zeros(len(sets), bool)
+        if len(x) and len(y) and label.min() != label.max():
+            hit = may_link(rule, [sets[i] for i in x], [sets[i] for i in y]) & (label[x][:, None] != label[y][None, :])
+            fine[x] |= hit.any(axis=1)
+            fine[y] |= hit.any(axis=0)
+        return group.select(["grp", "low", "high", "part", "doc_id", "label"]).filter(pa.array(fine))
+
+    places = written(places.join(known, "doc_id").groupBy("grp", "low", "high").applyInArrow(bound, MEMBERS), "jaccard-members")
     rows = places.join(scan_wanted(docs, rule, places.select("doc_id").distinct()), "doc_id")
 
     def run(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_pylist()
-        ids = group.column("doc_id").to_pylist()
-        sets = [np.frombuffer(b, np.uint64) for b in group.column("tokens").to_pylist()]
-        inside = sorted((i for i, x in enumerate(asks) if not x), key=lambda i: ids[i])
+        ids, label = group.column("doc_id").to_pylist(), group.column("label").to_pylist()
+        sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+        x, y = sides(group)
+        same: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while same.get(k, k) != k:
+                k = same[k]
+            return k
+
         a, b = [], []
-        if inside:
-            union = np.unique(np.concatenate([sets[i] for i in inside]))
-            for i in (i for i, x in enumerate(asks) if x):
-                query = sets[i]
-                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                if int((union[at] == query).sum()) < rule.needed(len(query)):
-                    continue
-                for j in inside:
-                    other = sets[j]
-                    if rule.den * min(len(query), len(other)) < rule.num * max(len(query), len(other)):
-                        continue
-                    at = np.minimum(np.searchsorted(other, query), len(other) - 1)
-                    if rule.links(int((other[at] == query).sum()), len(query), len(other)):
-                        a.append(ids[j])
-                        b.append(ids[i])
-                        break
+        for i in x.tolist():
+            for j in y.tolist():
+                p, q = top(label[i]), top(label[j])
+                if p != q and exact(rule, sets[i], sets[j]):
+                    same[max(p, q)] = min(p, q)
+                    a.append(ids[i])
+                    b.append(ids[j])
+        if len(ids) > PART // 4:
+            tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return written(rows.groupBy("grp", "part", "lot").applyInArrow(run, "a long, b long"), "jaccard-links")
+    return written(rows.groupBy("grp", "low", "high").applyInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,45 +370,27 @@ def jaccard_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     nothing.  Rows with the same doc_id count as one document of the graph.  An
     empty table gives no rows; further columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
     scanned = written(scan_sets(docs, rule), "jaccard-sets")
-    sets = scanned.where(F.col("sig").isNotNull()).select("doc_id", "n", "sig")
+    sets = scanned.select("doc_id", "n", "sig")
     classes = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
-    n_classes = classes.count()
-    common, df = common_tokens(scanned.where(F.col("token").isNotNull()).select("token", "df"), n_classes)
-
     reps = classes.select(F.col("rep").alias("doc_id"), "copies")
-    posted = written(scan_prefixes(docs, rule, common, df).join(reps, "doc_id"), "jaccard-prefixes")
-    posts = posted.select("doc_id", "n", "copies", F.explode("tokens").alias("token"))
+    fresh = scanned.where("n > 0").join(reps, "doc_id").select("doc_id", "n", "posts", "copies", "band", "extra").dropDuplicates(["doc_id"])
+    posts, known = post(written(fresh, "jaccard-reps"))
     heads = posts.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("copies")).alias("rank"), "doc_id", "n")).alias("head")).where("size > 1")
     shared = written(posts.join(heads.select("token", "head"), "token").select("token", "doc_id", "n", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")), "jaccard-shared")
 
-    sized = lambda x, y: (rule.den * F.least(x, y) >= rule.num * F.greatest(x, y))
-    star = written(shared.where((F.col("doc_id") != F.col("head")) & sized(F.col("n"), F.col("head_n"))).select(F.col("head").alias("grp"), "doc_id").distinct(), "jaccard-star")
-    links = open_groups(docs, rule, star.select("grp", F.col("grp").alias("doc_id")).distinct(), star)
+    star = written(shared.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("grp"), "doc_id", F.col("n"), "head_n").distinct(), "jaccard-star")
+    sized = rule.den * F.least("n", "head_n") >= rule.num * F.greatest("n", "head_n")
+    links = open_heads(docs, rule, known, star.where(sized).select("grp", "doc_id"))
     labels = components(links)
 
-    # what remains: documents of different groups that share a posted token
-    labelled = shared.join(labels, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    split = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    rest = labelled.join(split, "token")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    rest = written(rest.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1))), "jaccard-rest")
-    g = rest.groupBy("token", "label", "size").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n")).alias("g")
-    q = rest.alias("q")
-    larger = F.struct("g.size", "g.label") > F.struct("q.size", "q.label")
-    fits = (rule.den * F.col("g.high_n") >= rule.num * F.col("q.n")) & (rule.den * F.col("q.n") >= rule.num * F.col("g.low_n"))
-    asked = q.join(g, (F.col("q.token") == F.col("g.token")) & larger & fits).select(F.col("g.label").alias("grp"), F.col("g.size").alias("size"), "q.doc_id").distinct()
-    tested = star.select(F.least("grp", "doc_id").alias("x"), F.greatest("grp", "doc_id").alias("y"))
-    asked = asked.join(tested, (F.col("size") == 1) & (F.least("grp", "doc_id") == F.col("x")) & (F.greatest("grp", "doc_id") == F.col("y")), "left_anti")
-    asked = written(asked.select("grp", "doc_id"), "jaccard-asked")
-    if not asked.isEmpty():
-        groups = asked.select("grp").distinct()
-        inside = labels.select(F.col("label").alias("grp"), "doc_id").join(groups, "grp")
-        alone = groups.join(labels.select(F.col("label").alias("grp")).distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("doc_id"))
-        more = open_groups(docs, rule, inside.unionByName(alone), asked)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    # what remains: documents of one group that aren't connected yet; any two that
+    # share a posted token are in the group of that token's head
+    members = star.join(labels, "doc_id", "left").select("grp", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    mixed_groups = members.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("grp")
+    more = open_groups(docs, rule, known, members.join(mixed_groups, "grp"))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     component = classes.join(labels, classes["rep"] == labels["doc_id"], "left").select("sig", F.coalesce("label", "rep").alias("component"))
     out = sets.join(component, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
