@@ -75,7 +75,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     padded = F.concat(F.lit(" "), F.col("feature"), F.lit(" "))
     for order in settings.orders:
         starts = words.where(F.length(padded) >= order).select("lang", padded.alias("padded"), "n", F.explode(F.sequence(F.lit(1), F.length(padded) - order + 1)).alias("at"))
-        grams = starts.groupBy("lang", F.substring("padded", F.col("at"), F.lit(order)).alias("feature")).agg(F.sum("n").alias("n"))
+        grams = starts.groupBy("lang", F.substring("padded", F.col("at"), F.lit(order)).alias("feature")).agg(F.sum("n").alias("n")).where("feature <> ' '")
         kinds.append(grams.select("lang", F.lit(order).alias("kind"), "feature", "n"))
     table = kinds[0]
     for more in kinds[1:]:

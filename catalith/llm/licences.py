@@ -38,7 +38,7 @@ Permission is granted to anyone to use this software for any purpose, including
 STEPS = (
     (r"(?m)^[^\p{L}\n]*(copyright|\(c\)|©)[^\n]*$", " "),
     (r"(?m)^[^\p{L}\n]*all rights reserved[^\n]*$", " "),
-    (r"^\s*[^\n]{0,60}\blicen[cs]e\b[^\n\p{L}]*(\n|$)", " "),
+    (r"^\s*[^\n]{0,60}\blicen[cs]e\b[^\n]{0,20}(\n|$)", " "),
     (r"(?m)^\s*([0-9]{1,2}[.)]|[*•-])", " "),
     (r"[^\p{L}\p{N}]+", " "),
     (r"\blicence", "license"),
