@@ -435,6 +435,16 @@ def human_size(n: Column) -> Column:
     return out
 
 
+def human_duration(seconds: Column) -> Column:
+    s = F.floor(seconds).cast("long")
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60).cast("long"), s % 60)).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long")))
+
+
+def starts_with(path: Column, prefix: str) -> Column:
+    """The path lies below the prefix, whatever the case; nothing in the prefix is a wildcard."""
+    return F.lower(path).startswith(prefix.lower())
+
+
 def status_of_path(path: Column, root: str) -> Column:
     """Status that a file's place in the library tells: the first review folder decides."""
     places = {"DUPES_MOVED_FOR_REVIEW": "DUPE_REVIEW", "TRIBUTE_REMOVED_FOR_REVIEW": "TRIBUTE_REVIEW"}

@@ -82,6 +82,17 @@ def report(duplicates: DataFrame) -> DataFrame:
     return duplicates.groupBy("group_id").agg(F.max("duplicate_type").alias("duplicate_type"), n("keep").alias("keep_count"), n("archive").alias("archive_count"), n("pending").alias("pending_count"))
 
 
+def members(duplicates: DataFrame, archive: DataFrame) -> DataFrame:
+    """Staged duplicates with what the catalogue knows of them; unknown files stay, with nulls."""
+    known = archive.select("file_path", "codec", "bitrate", "size_bytes", F.col("status").alias("file_status"))
+    return duplicates.join(known, "file_path", "left")
+
+
+def ledger_members(ledger: DataFrame, archive: DataFrame) -> DataFrame:
+    """Catalogue rows of each ledger hash, each once."""
+    return ledger.select("audio_hash").distinct().join(archive.select("audio_hash", "file_path", "status"), "audio_hash").dropDuplicates(["audio_hash", "file_path"])
+
+
 def near_pairs(df: DataFrame, threshold: float = V.NEAR_TITLE, excluded: DataFrame | None = None) -> DataFrame:
     """Pairs of files by one artist whose titles are nearly the same.
 

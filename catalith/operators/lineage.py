@@ -72,6 +72,11 @@ def dead_groups(archive: DataFrame, storage: DataFrame) -> DataFrame:
     return rows.groupBy("audio_hash").agg(F.bool_or(F.coalesce("there", F.lit(False))).alias("live"), F.count("*").alias("members")).where("not live").select("audio_hash", "members")
 
 
+def unknown(listing: DataFrame, archive: DataFrame) -> DataFrame:
+    """Files on disk that the catalogue doesn't have."""
+    return listing.select("path").distinct().join(archive.select(F.col("file_path").alias("path")), "path", "left_anti")
+
+
 def twins(library: DataFrame, tier: DataFrame, library_root: str, tier_root: str) -> DataFrame:
     """Library and archive-tier files with the same relative path."""
     rel = lambda c, root: F.substring(F.col(c), len(root) + 2, 100_000)

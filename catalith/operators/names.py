@@ -76,6 +76,13 @@ def majority_fill(df: DataFrame, group: str = "artist", value: str = "genre") ->
     return df.where(text.blank(F.col(value)) & (F.trim(group) != "")).withColumn("key", key).join(best, "key").select("file_path", "new_value")
 
 
+def first_match(df: DataFrame, candidates: DataFrame, path: str = "path") -> DataFrame:
+    """For each row the first candidate with the same artist and title, by path."""
+    key = [F.lower(F.trim("artist")).alias("_a"), F.lower(F.trim("title")).alias("_t")]
+    best = candidates.select(*key, path).groupBy("_a", "_t").agg(F.min(path).alias("match"))
+    return df.select("*", *key).join(best, ["_a", "_t"]).drop("_a", "_t")
+
+
 def album_variants(df: DataFrame) -> DataFrame:
     """Albums of an artist that differ in case or spaces, with the longest spelling."""
     rows = df.where((F.trim("artist") != "") & (F.trim("album") != ""))

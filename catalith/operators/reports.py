@@ -58,6 +58,16 @@ def review_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_type").agg(F.count("*").alias("cnt"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
+def report_lines(df: DataFrame, *columns: str) -> DataFrame:
+    """One line of text for each row, for a text sink."""
+    return df.select(F.concat_ws("  ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("value"))
+
+
+def analysable(archive: DataFrame, least: float = 10.0, channels: int = 2) -> DataFrame:
+    """Rows long enough and with few enough channels to be analysed."""
+    return archive.where((F.col("duration") >= least) & (F.col("channels") <= channels))
+
+
 def run_stages(events: DataFrame) -> DataFrame:
     """Processed, changed and failed counts of each stage."""
     return events.groupBy("stage").agg(F.count("*").alias("processed"), F.count_if(F.col("outcome") == "changed").alias("changed"), F.count_if(F.col("outcome") == "error").alias("errored"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import audio, probe, similarity, text
-from catalith.operators import dml, dupes, health, lineage, names, reports
+from catalith.operators import dml, dupes, health, lineage, lookups, names, reports
 from catalith.plans.archive import archive
+from catalith.sources import files
 from catalith.streaming import windows
 
 REGISTRY: dict = {}
@@ -299,6 +300,27 @@ def acoustic_pairs(spark, sf_dir):
     return dupes.acoustic_pairs(rows)
 
 
+@query
+def duplicate_members(spark, sf_dir):
+    rows = archive(spark, sf_dir)
+    path = F.when(F.col("id") % 2 == 0, F.col("file_path")).otherwise("/gone")
+    staged = rows.where("audio_hash is not null and id % 3 = 0").select(text.group_id("dup_", F.col("audio_hash")).alias("group_id"), path.alias("file_path"))
+    return dupes.members(staged, rows).select("group_id", "file_path", "codec", "bitrate", "file_status")
+
+
+@query
+def ledger_members(spark, sf_dir):
+    rows = archive(spark, sf_dir)
+    return dupes.ledger_members(rows.where("id % 5 = 0 and audio_hash is not null").select("audio_hash"), rows)
+
+
+@query
+def leader_clusters(spark, sf_dir):
+    """Part names in blocks of their first word, in order of name."""
+    rows = read(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("block"), F.col("p_name").alias("name"), F.col("p_name").alias("place"))
+    return dupes.leader_clusters(rows, "block", "place", "name", 70)
+
+
 # -- names --------------------------------------------------------------------
 
 CANON = (("the beatles", "The Beatles"), ("kinks", "Kinks, The"), ("pink floid", "Pink Floyd"), ("sigur ros", "Sigur Rós"), ("abba", ""), ("neil yuong", "Neil Young"))
@@ -332,6 +354,13 @@ def album_variants(spark, sf_dir):
     return names.album_variants(archive(spark, sf_dir).withColumn("artist", F.regexp_extract("file_path", r"(Brand#[0-9]+)", 1)))
 
 
+@query
+def first_match(spark, sf_dir):
+    rows = archive(spark, sf_dir)
+    found = names.first_match(rows.where("id % 2 = 0").select("id", "artist", "title"), rows.where("id % 2 = 1").select("artist", "title", F.col("file_path").alias("path")))
+    return found.select("id", "match")
+
+
 # -- table changes ------------------------------------------------------------
 
 
@@ -446,6 +475,52 @@ def dead_groups(spark, sf_dir):
     return lineage.dead_groups(rows, _storage(rows))
 
 
+@query
+def unknown_files(spark, sf_dir):
+    rows = archive(spark, sf_dir)
+    return lineage.unknown(_storage(rows), rows)
+
+
+@query
+def archive_by_status(spark, sf_dir):
+    return archive(spark, sf_dir).where("status = 'CATALOGUED'").select("id", "artist", "album", "title").orderBy("artist", "album", "title", "id")
+
+
+@query
+def path_prefix(spark, sf_dir):
+    return archive(spark, sf_dir).where(text.starts_with(F.col("file_path"), "/VAULT/lib/Brand#1")).select("file_path")
+
+
+@query
+def analysable_files(spark, sf_dir):
+    return reports.analysable(archive(spark, sf_dir)).select("file_path", text.human_duration(F.col("duration") * 30).alias("length"))
+
+
+@query
+def report_lines(spark, sf_dir):
+    return reports.report_lines(health.breakdown(health.issue_rows(archive(spark, sf_dir))), "severity", "issue", "cnt")
+
+
+@query
+def lossy_rows(spark, sf_dir):
+    rows = archive(spark, sf_dir)
+    return files.lossy_rows(rows, rows.where("id % 4 = 0"))
+
+
+@query
+def restore_commands(spark, sf_dir):
+    return files.restore_commands(archive(spark, sf_dir).where("title <> ''").select(F.col("title").alias("source"), F.col("file_path").alias("destination")))
+
+
+@query
+def looked_up(spark, sf_dir):
+    """Answers by brand, of which only good ones count."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    brand = F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 30).cast("string"))
+    answers = read(spark, sf_dir, "supplier").select(brand.alias("brand"), F.col("s_name").alias("answer"), (F.col("s_suppkey") % 10 / 10.0).cast("double").alias("score"))
+    return lookups.answered(part, lookups.accepted(answers, "score", 0.5).select("brand", "answer"), "brand")
+
+
 @query
 def twin_join(spark, sf_dir):
     rows = archive(spark, sf_dir)

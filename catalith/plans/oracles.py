@@ -355,5 +355,32 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT min(ts) AS window_start, user_id, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"""
 
 
+on_archive("duplicate_members", """d AS (SELECT 'dup_' || audio_hash[1:12] AS group_id, CASE WHEN id % 2 = 0 THEN file_path ELSE '/gone' END AS file_path FROM archive WHERE audio_hash IS NOT NULL AND id % 3 = 0)
+SELECT group_id, file_path, codec, bitrate, status AS file_status FROM d LEFT JOIN archive USING (file_path)""")
+on_archive("ledger_members", "SELECT DISTINCT audio_hash, file_path, status FROM archive WHERE audio_hash IN (SELECT audio_hash FROM archive WHERE id % 5 = 0)")
+_SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+_SHORT, _LONG = "(CASE WHEN length(x) <= length(y) THEN x ELSE y END)", "(CASE WHEN length(x) <= length(y) THEN y ELSE x END)"
+SQL["leader_clusters"] = f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS block FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY name) AS i FROM n),
+p AS (SELECT a.block, a.i, b.i AS j, a.name AS x, b.name AS y FROM o a JOIN o b ON a.block = b.block AND b.i < a.i),
+t AS (SELECT *, {_SORTED.format('x')} AS tx, {_SORTED.format('y')} AS ty, unnest(list_transform(range(1, abs(length(x) - length(y)) + 2), lambda s: {_LONG}[s:s + length({_SHORT}) - 1])) AS w, {_SHORT} AS short FROM p),
+m AS (SELECT block, i, j FROM t GROUP BY ALL HAVING max(greatest({ratio('x', 'y')}, {ratio('tx', 'ty')}, {ratio('short', 'w')})) >= 70),
+g AS (SELECT block, 1::BIGINT AS i, [1::BIGINT] AS leaders, 1::BIGINT AS leader FROM o WHERE i = 1
+  UNION ALL SELECT block, i, CASE WHEN hit IS NULL THEN list_append(leaders, i) ELSE leaders END, coalesce(hit, i) FROM (
+    SELECT g.block, g.i + 1 AS i, g.leaders, (SELECT min(m.j) FROM m WHERE m.block = g.block AND m.i = g.i + 1 AND list_contains(g.leaders, m.j)) AS hit FROM g WHERE EXISTS (FROM o WHERE o.block = g.block AND o.i = g.i + 1)))
+SELECT g.block, o.name, l.name AS leader FROM g JOIN o ON o.block = g.block AND o.i = g.i JOIN o l ON l.block = g.block AND l.i = g.leader"""
+on_archive("first_match", """c AS (SELECT lower(trim(artist)) AS a, lower(trim(title)) AS t, min(file_path) AS match FROM archive WHERE id % 2 = 1 GROUP BY ALL)
+SELECT id, match FROM archive JOIN c ON lower(trim(artist)) = a AND lower(trim(title)) = t WHERE id % 2 = 0""")
+on_archive("unknown_files", f"{_DISK} SELECT path FROM d WHERE path NOT IN (SELECT file_path FROM archive)")
+on_archive("archive_by_status", "SELECT id, artist, album, title FROM archive WHERE status = 'CATALOGUED' ORDER BY artist NULLS FIRST, album NULLS FIRST, title NULLS FIRST, id")
+on_archive("path_prefix", "SELECT file_path FROM archive WHERE starts_with(lower(file_path), '/vault/lib/brand#1')")
+on_archive("analysable_files", """a AS (SELECT file_path, CAST(floor(duration * 30) AS BIGINT) AS s FROM archive WHERE duration >= 10 AND channels <= 2)
+SELECT file_path, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS length FROM a""")
+on_archive("report_lines", f"{_ISSUES} SELECT severity || '  ' || issue || '  ' || count(*) AS value FROM i GROUP BY issue, severity")
+on_archive("lossy_rows", "SELECT artist, title, album, upper(codec) AS codec, bitrate // 1000 AS kbps, round(duration, 1) AS duration, file_path FROM archive WHERE lower(codec) NOT IN ('flac', 'alac', 'pcm_s16le', 'pcm_s24le', 'pcm_s32le') AND id % 4 <> 0")
+on_archive("restore_commands", r"""SELECT 'mv -n -- ''' || replace(file_path, '''', '''\''''') || ''' ''' || replace(title, '''', '''\''''') || '''' AS value FROM archive WHERE title <> ''""")
+SQL["looked_up"] = "WITH a AS (SELECT 'Brand#' || s_suppkey % 30 AS brand, min(s_name) AS answer FROM supplier WHERE s_suppkey % 10 >= 5 GROUP BY 1) SELECT p_partkey AS id, p_brand AS brand, answer FROM part LEFT JOIN a ON brand = p_brand"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
