@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.functions import text
-from catalith.operators import dml, dupes, health, names, reports
+from catalith.functions import probe, text
+from catalith.operators import dml, dupes, health, lineage, names, reports
+from catalith.sources import files
 
 Tables = dict[str, DataFrame]
 
@@ -89,6 +90,116 @@ def playlists(tables: Tables) -> Output:
     return Output({}, {"playlists": reports.playlist_lines(tables["archive"])})
 
 
+def ingest(tables: Tables) -> Output:
+    """Files of the listing that the catalogue doesn't have become PENDING rows."""
+    before = tables["archive"]
+    new = lineage.unknown(tables["listing"], before).select(F.col("path").alias("file_path"))
+    facts = tables["listing"].groupBy(F.col("path").alias("file_path")).agg(F.max("size_bytes").alias("size_bytes"))
+    rows = new.join(facts, "file_path").withColumns({"status": F.lit("PENDING"), "ext": text.extension(F.col("file_path"))})
+    events = rows.select(F.lit("INGEST").alias("stage"), F.lit("INGEST").alias("event_type"), "file_path")
+    return Output({"archive": before.unionByName(rows.select(*[c for c in rows.columns if c in before.columns]), allowMissingColumns=True)}, {"events": events})
+
+
+def hash_files(tables: Tables) -> Output:
+    """Pending files take their content hash; a file whose hash is known already is a duplicate."""
+    before = tables["archive"]
+    digests = tables["hashes"].select(F.col("path").alias("_path"), F.col("sha256").alias("_hash"))
+    pending = (F.col("status") == "PENDING") | ((F.col("status") == "HASHED") & text.is_pending(F.col("audio_hash")))
+    joined = before.join(digests, (before["file_path"] == digests["_path"]) & pending, "left")
+    values = {"audio_hash": F.coalesce("_hash", before["audio_hash"]), "status": F.when(F.col("_hash").isNotNull(), "HASHED").otherwise(before["status"])}
+    after = joined.withColumns(values).drop("_path", "_hash")
+    first = dupes.first_seen(after, "audio_hash", "file_path")
+    rows = first.select(F.col("copy_key").alias("file_path"), F.lit("EXACT").alias("duplicate_type"), F.lit("pending").alias("status"))
+    return Output({"archive": after}, {"duplicates": rows})
+
+
+def extract(tables: Tables) -> Output:
+    """Hashed files take the metadata of their probe documents and become CATALOGUED."""
+    before = tables["archive"]
+    flat = probe.flattened(tables["probes"].select("file_path", "raw_json"))
+    supplied = [c for c in flat.columns if c != "file_path" and c in before.columns]
+    source = flat.join(before.where("status = 'HASHED'").select("file_path"), "file_path", "left_semi").withColumn("status", F.lit("CATALOGUED"))
+    return Output({"archive": dml.upsert(before, source, "file_path", [*supplied, "status"])})
+
+
+def cross_batch(tables: Tables) -> Output:
+    live = tables["listing"].select("path")
+    hits = dupes.cross_batch(tables["archive"].where("audio_hash is not null").select("file_path", "audio_hash"), tables["ledger"], live)
+    return Output({}, {"duplicates": hits.select("group_id", "file_path", F.lit("CROSS_BATCH").alias("duplicate_type"), F.lit("pending").alias("status"))})
+
+
+def near_duplicates(tables: Tables) -> Output:
+    """Pairs of near titles; files of exact groups are left out."""
+    known = tables.get("duplicates")
+    excluded = known.where("duplicate_type = 'EXACT'") if known is not None else None
+    pairs = dupes.near_pairs(tables["archive"].where("status = 'CATALOGUED'"), excluded=excluded)
+    rows = pairs.select("group_id", F.explode(F.array("file_a", "file_b")).alias("file_path"), "confidence", F.lit("NEAR").alias("duplicate_type"), F.lit("pending").alias("status"))
+    return Output({}, {"duplicates": rows})
+
+
+def acoustic(tables: Tables) -> Output:
+    pairs = dupes.acoustic_pairs(tables["recordings"])
+    return Output({}, {"duplicates": pairs.select("group_id", "file_path", F.lit("ACOUSTIC").alias("duplicate_type"), F.lit("pending").alias("status"))})
+
+
+def canonicalise(tables: Tables) -> Output:
+    live = F.col("status") == "CATALOGUED"
+    after = tables["archive"].withColumn("canon_action", F.when(live, health.canon_action()))
+    return Output({"archive": after}, {"lossy": files.lossy_rows(after.where(live), tables.get("lossy", after.where("false")))})
+
+
+def finalise(tables: Tables) -> Output:
+    """Target paths without collisions, and ledger rows for what reaches them."""
+    rows = tables["archive"].where("status = 'CATALOGUED'")
+    target = F.concat(F.lit("/library/"), text.path_component(F.col("artist")), F.lit("/"), text.track_filename(F.col("artist"), F.col("title"), F.col("ext")))
+    moves = dupes.with_collision_suffix(rows.withColumn("target", target), "target", "file_path").select("file_path", "audio_hash", F.col("final_path").alias("new_value"))
+    ledger = moves.where("audio_hash is not null").select("audio_hash", F.col("new_value").alias("file_path"))
+    events = moves.select(F.lit("FINALIZE").alias("stage"), F.lit("FINALIZE_MOVE").alias("event_type"), "file_path", F.col("file_path").alias("old_value"), "new_value")
+    added = dml.delete_matching(ledger, tables["ledger"], ["audio_hash", "file_path"]) if "ledger" in tables else ledger
+    return Output({}, {"ledger": added, "events": events})
+
+
+def audit(tables: Tables) -> Output:
+    rows = tables["archive"].where(~text.is_pending(F.col("finalized_at")))
+    return Output({}, {"audit": lineage.reconcile(rows, tables["listing"], tables["ledger"])})
+
+
+def bit_rot(tables: Tables) -> Output:
+    return Output({}, {"bit_rot": lineage.baseline_diff(tables["baseline"], tables["hashes"])})
+
+
+def loudness(tables: Tables) -> Output:
+    return Output({}, {"loudness": health.loudness_window(tables["archive"])})
+
+
+def sweep_ghosts(tables: Tables) -> Output:
+    before = tables["archive"]
+    gone = lineage.ghosts(before, tables["listing"]).select(F.col("file_path").alias("_gone"))
+    joined = before.join(gone, before["file_path"] == gone["_gone"], "left")
+    after = joined.withColumn("status", F.when(F.col("_gone").isNotNull(), "GHOST").otherwise(F.col("status"))).drop("_gone")
+    return Output({"archive": after}, {"events": _events("GHOST", dml.changes(before, after, "file_path", ["status"]))})
+
+
+def various_artists(tables: Tables) -> Output:
+    """Compilation credits give way to the artist that the file name tells."""
+    found = text.real_artist(F.col("file_path"))["artist"]
+    return _rewrite("VARIOUS_ARTISTS", tables, {"artist": F.when(text.is_various(F.col("artist")) & (found != ""), found)})
+
+
+def export_plan(tables: Tables) -> Output:
+    rows = tables["archive"].where("status = 'CATALOGUED'")
+    columns = [F.col(c) for c in ("artist", "album", "track", "title", "file_path", "ext")]
+    return Output({}, {"export": rows.select("file_path", text.export_path(*columns).alias("target"))})
+
+
+def review(tables: Tables) -> Output:
+    """Findings of a reviewer's replies on files that have none yet."""
+    found = probe.valid_findings(tables["replies"])
+    if "review_issues" in tables:
+        found = dml.delete_matching(found, tables["review_issues"], ["file_path"])
+    return Output({}, {"review_issues": found})
+
+
 DEFAULT: list[tuple[str, Stage]] = [
     ("health", check_health),
     ("quarantine", quarantine),
@@ -100,6 +211,30 @@ DEFAULT: list[tuple[str, Stage]] = [
     ("playlists", playlists),
 ]
 
+#: From a listing to a finalised catalogue; needs listing, hashes, probes and ledger beside the archive.
+FULL: list[tuple[str, Stage]] = [
+    ("ingest", ingest),
+    ("hash_files", hash_files),
+    ("extract", extract),
+    ("health", check_health),
+    ("quarantine", quarantine),
+    ("various_artists", various_artists),
+    ("normalise", normalise),
+    ("sanitise", sanitise),
+    ("consolidate", consolidate),
+    ("cross_batch", cross_batch),
+    ("near_duplicates", near_duplicates),
+    ("resolve_duplicates", resolve_duplicates),
+    ("canonicalise", canonicalise),
+    ("enrich", enrich),
+    ("finalise", finalise),
+    ("playlists", playlists),
+    ("export_plan", export_plan),
+]
+
+#: Checks of a finalised catalogue against storage, ledger and baseline.
+MAINTAIN: list[tuple[str, Stage]] = [("audit", audit), ("bit_rot", bit_rot), ("loudness", loudness), ("sweep_ghosts", sweep_ghosts)]
+
 
 def run(tables: Tables, stages: list[tuple[str, Stage]] = DEFAULT, save: Callable[[str, str, DataFrame], DataFrame] | None = None) -> tuple[Tables, dict[str, str]]:
     """Apply the stages; a stage that fails leaves the tables as they were and is reported.
