@@ -42,3 +42,11 @@ def test_rollup_levels(spark):
     df = spark.createDataFrame([("g", "c", 1), ("g", None, 2)], "genre string, codec string, size_bytes long")
     rows = {(r.genre, r.codec, r.level): (r.files, r.bytes) for r in reports.breakdown(df).collect()}
     assert rows[("g", None, 1)] == (2, 3) and rows[(None, None, 3)] == (2, 3)
+
+
+def test_tool_output(spark):
+    from catalith.functions import probe
+
+    out = 'noise {"x": 1}\n{"input_i" : "-20.5", "input_tp" : "-1.0"}\ntail'
+    row = spark.createDataFrame([(out,), ("none",)], "t string").select(probe.loudness_json(F.col("t")).alias("j")).collect()
+    assert row[0].j.input_i == "-20.5" and row[1].j is None
