@@ -107,7 +107,7 @@ class PrefixTable:
         self.suffix = model["end_of_word_suffix"] or ""
         self.longest = max(len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.vocab)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.live = {t for t in self.vocab if self.merged(self.symbols(t)) == [t]}
 
     def symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -128,12 +128,6 @@ class PrefixTable:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def reachable(self, token: str) -> bool:
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = token in self.vocab and self.merged(self.symbols(token)) == [token]
-        return known
-
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -144,14 +138,19 @@ class PrefixTable:
 
     def _last(self, word: str, i: int, tail: str, last: list[str]) -> tuple[str, int]:
         """The token that ends the encoding of word[:i] + tail, and where it starts."""
+        live, pairs = self.live, self.pairs
         for j in range(max(0, i - self.longest), i):
             token = word[j:i] + tail
-            if token in self.vocab and self.reachable(token) and (j == 0 or self.compatible(last[j], token)):
-                return token, j
+            if token in live:
+                if not j:
+                    return token, 0
+                fits = pairs.get((last[j], token))
+                if self.compatible(last[j], token) if fits is None else fits:
+                    return token, j
         raise ValueError(f"no token of the vocabulary ends {word[:i]!r}")
 
-    def prefixes(self, piece: str, inner_only: bool = False) -> tuple[list[int], list[str]]:
-        word = to_alphabet(piece)
+    def prefixes(self, word: str) -> tuple[list[int], list[str]]:
+        """Count and last token at each position of a word, given in the byte alphabet, that goes on."""
         last, count = [""], [0]
         for i in range(1, len(word) + 1):
             token, j = self._last(word, i, "", last)
@@ -162,7 +161,7 @@ class PrefixTable:
     def ended(self, piece: str) -> list[int]:
         """Tokens of piece[:i] taken as whole words, for each byte i from 0 on."""
         word = to_alphabet(piece)
-        count, last = self.prefixes(piece)
+        count, last = self.prefixes(word)
         if not self.suffix:
             return count
         return [0, *(count[j] + 1 for _, j in (self._last(word, i, self.suffix, last) for i in range(1, len(word) + 1)))]
@@ -170,13 +169,11 @@ class PrefixTable:
     def total(self, piece: str) -> int:
         """Tokens of the whole piece."""
         word = to_alphabet(piece)
-        n, last, count = len(word), [""], [0]
-        if self.suffix and n and self.reachable(word + self.suffix):
+        if not word:
+            return 0
+        if word + self.suffix in self.live:
             return 1
-        for i in range(1, n if self.suffix else n + 1):
-            token, j = self._last(word, i, "", last)
-            last.append(token)
-            count.append(count[j] + 1)
-        if not self.suffix or not n:
-            return count[n]
-        return count[self._last(word, n, self.suffix, last)[1]] + 1
+        if not self.suffix:
+            return self.prefixes(word)[0][-1]
+        count, last = self.prefixes(word[:-1])
+        return count[self._last(word, len(word), self.suffix, last)[1]] + 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +76,12 @@ class TokenIndex:
         return len(text) if total + self.count(text[fits:]) <= budget else fits
 
 
+@lru_cache(maxsize=2)
+def kept_index(path: str) -> TokenIndex:
+    """One index for each worker, so that a word's counts last from task to task."""
+    return TokenIndex(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """One row per document with its exact token count; nothing is shuffled.
 
@@ -84,7 +91,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TokenIndex(path)
+        index = kept_index(path)
         for batch in batches:
             n_bytes, n_tokens, fits = [], [], []
             for text in batch.column(1).to_pylist():
