@@ -114,5 +114,51 @@ SELECT d.doc_id, d.digest, k.licence FROM d LEFT JOIN known k ON d.digest = k.di
 ORACLES["op7_licences"] = _licences()
 
 
+def _located(found: str, gaps: str, offset: str) -> str:
+    """Structs (s, e, v) of matches, from the matches and what lies between them."""
+    before = f"list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: length(x))), 0)"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {{'s': CAST({offset} + {before} AS INTEGER), 'e': CAST({offset} + {before} + length({found}[i]) AS INTEGER), 'v': {found}[i]}})"
+
+
+def _personal_data() -> str:
+    """The four patterns as they stand, then contexts, counts and shares, step by step."""
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INTEGER) WHEN CAST(reverse(d)[i] AS INTEGER) > 4 THEN 2 * CAST(reverse(d)[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse(d)[i] AS INTEGER) END)) % 10 = 0"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+    }
+    found = []
+    for i, (pattern, test) in enumerate(kinds.values()):
+        spans = _located(f"regexp_extract_all(text, '{pattern}')", f"string_split_regex(text, '{pattern}')", "0")
+        found.append(f"SELECT row, text, {i} AS kind, m.s, m.e, m.v FROM (SELECT row, text, m.s, m.e, m.v AS v, regexp_replace(m.v, '[^0-9]', '', 'g') AS d, m FROM (SELECT row, text, unnest({spans}) AS m FROM t)) WHERE {test}")
+    inside = _located("words", "gaps", "off")
+    names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " ELSE 'term' END"
+    listed = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+    return rf"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+b AS MATERIALIZED ({' UNION ALL '.join(found)}),
+m AS (SELECT *, kind || ':' || CASE WHEN kind >= 2 THEN regexp_replace(v, '[^0-9]', '', 'g') ELSE lower(v) END AS entity,
+  text[greatest(s - 80, 0) + 1:s] AS pre, text[e + 1:e + 80] AS post FROM b),
+c AS (SELECT row, entity, s - length(CASE WHEN s > 80 THEN regexp_replace(pre, '^\p{{L}}+', '') ELSE pre END) AS off, CASE WHEN s > 80 THEN regexp_replace(pre, '^\p{{L}}+', '') ELSE pre END AS side FROM m
+  UNION ALL SELECT row, entity, e, CASE WHEN length(post) = 80 THEN regexp_replace(post, '\p{{L}}+$', '') ELSE post END FROM m),
+w AS (SELECT row, entity, off, regexp_extract_all(side, '\p{{L}}{{3,}}') AS words, string_split_regex(side, '\p{{L}}{{3,}}') AS gaps FROM c),
+x AS MATERIALIZED (SELECT row, entity, lower(u.v) AS term, u.s, u.e FROM (SELECT row, entity, unnest({inside}) AS u FROM w) o
+  WHERE NOT EXISTS (FROM b WHERE b.row = o.row AND b.s < o.u.e AND o.u.s < b.e)),
+n AS (SELECT count(*) AS n FROM t),
+e AS (SELECT entity, count(DISTINCT (doc_id, text)) AS n_e FROM (SELECT m.entity, t.doc_id, t.text FROM m JOIN t USING (row)) GROUP BY entity HAVING count(DISTINCT text) >= 5),
+p AS (SELECT entity, term, n_e, count(DISTINCT (doc_id, text)) AS n_et FROM x JOIN e USING (entity) JOIN t USING (row) GROUP BY ALL HAVING count(DISTINCT text) >= 5),
+f AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{3,}}'))) AS term FROM documents) WHERE term IN (SELECT term FROM p) GROUP BY term),
+r AS (SELECT entity, term FROM p JOIN f USING (term), n WHERE ln(n / n_e) > 0 AND ln(n_et * n / (n_e * greatest(n_t, n_et))) >= 0.9 * ln(n / n_e)),
+a AS (SELECT row, kind, s, e FROM b UNION ALL SELECT DISTINCT row, 4, s, e FROM x JOIN r USING (entity, term))
+SELECT t.doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(kinds))},
+  sha256(coalesce({listed} FILTER (kind < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM t LEFT JOIN a USING (row) GROUP BY t.row, t.doc_id
+"""
+
+
+ORACLES["op8_pii"] = _personal_data()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

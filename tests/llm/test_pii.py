@@ -85,3 +85,15 @@ def test_rewritten_rows_keep_their_columns(spark):
     assert rows[1].text == "mail <EMAIL> now" and rows[1].n_chars == 16
     assert rows[2].text is None and rows[3].text == "" and rows[4].text.startswith("<PHONE>")
     assert pii.find_personal_data(df.limit(0)).count() == 0 and pii.without_personal_data(df.limit(0)).count() == 0
+
+
+def test_sql_agrees_on_the_planted_corpus(spark):
+    import duckdb
+    import pandas as pd
+
+    from catalith.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(corpus(), columns=["doc_id", "text"]))
+    df = pii.find_personal_data(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(ORACLES["op8_pii"]).fetchall())
