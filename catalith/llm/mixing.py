@@ -64,8 +64,8 @@ def sized_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """For each source its target, its full passes, and the range in which the last pass ends."""
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    """For each source its target, its full passes, and the range in which the last pass ends; written."""
+    sums = written(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     totals = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
     budget = F.round("target").cast("long")
     size = F.col("source_size")
@@ -76,13 +76,18 @@ def cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     t, s = totals.alias("t"), sums.alias("s")
     hit = F.col("t.source").eqNullSafe(F.col("s.source")) & (F.col("s.range_start") < F.col("t.rest")) & (F.col("t.rest") <= F.col("s.range_start") + F.col("s.range_size"))
     found = t.join(s, hit, "left")
-    return found.select("t.source", "t.source_size", "t.target", "t.passes", "t.rest", F.col("s.range").alias("cut_range"), F.col("s.range_start").alias("cut_start"))
+    found = found.select("t.source", "t.source_size", "t.target", "t.passes", "t.rest", F.col("s.range").alias("cut_range"), F.col("s.range_start").alias("cut_start"))
+    return written(found, "mix-cuts")
 
 
 def allotted(sized: DataFrame, cut: DataFrame) -> DataFrame:
     """Words that the mix takes of each document; the last pass ends exactly at the budget."""
-    d, c = sized.alias("d"), cut.alias("c")
-    joined = d.join(c, F.col("d.source").eqNullSafe(F.col("c.source"))).select("d.doc_id", "d.source", "d.size", "d.key", "d.range", "c.source_size", "c.target", "c.passes", "c.rest", "c.cut_range", "c.cut_start")
+    # documents meet their plan by source and range, so a hot source is spread over its ranges
+    ranges, c = sized.select("source", "range").distinct().alias("r"), cut.alias("c")
+    plan = ranges.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.source", "r.range", "c.source_size", "c.target", "c.passes", "c.rest", "c.cut_range", "c.cut_start")
+    d, p = sized.alias("d"), plan.alias("p")
+    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range")))
+    joined = joined.select("d.doc_id", "d.source", "d.size", "d.key", "d.range", "p.source_size", "p.target", "p.passes", "p.rest", "p.cut_range", "p.cut_start")
     at_cut = F.coalesce(F.col("range") == F.col("cut_range"), F.lit(False))
     before = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = joined.where(at_cut).withColumn("start", F.col("cut_start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -116,6 +121,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     last = taken.groupBy("source").agg(F.max("key").alias("last_key"))
     c, k = cut.alias("c"), last.alias("k")
     plan = c.join(k, F.col("c.source").eqNullSafe(F.col("k.source")), "left").select(F.col("c.source").alias("_source"), F.col("c.passes").alias("_passes"), F.coalesce("k.last_key", "c.cut_range").alias("_last"))
+    plan = written(plan, "mix-plan")  # a table whose size is known: joined without moving the texts if it is small
     keyed = docs.withColumn("_key", random_key(F.col("doc_id"), seed))
     joined = keyed.join(plan, keyed["source"].eqNullSafe(plan["_source"]))
     copies = F.col("_passes") + F.when(F.col("_key") <= F.col("_last"), 1).otherwise(0)
