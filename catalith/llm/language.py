@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import map_batches
+from catalith.llm.common import map_batches, written
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -71,6 +71,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     if share < 1:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("feature")).groupBy("lang", "feature").agg(F.count("*").alias("n"))
+    words = written(words, "language-words")
     kinds = [words.select("lang", F.lit(0).alias("kind"), "feature", "n")]
     padded = F.concat(F.lit(" "), F.col("feature"), F.lit(" "))
     for order in settings.orders:
