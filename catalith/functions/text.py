@@ -71,12 +71,7 @@ def canon_key(x: Column) -> Column:
 def without_qualifiers(title: Column) -> Column:
     """Version brackets, year and number brackets and bare version words become spaces."""
     words = "|".join(sorted(V.VERSION_WORDS, key=len, reverse=True))
-    steps = (
-        rf"(?i)[(\[]\s*(?:(?:19|20)\d{{2}}\s+)?(?:{words})[\s\d,./+-]*[)\]]",
-        r"[(\[]\s*(?:19|20)\d{2}\s*[)\]]",
-        r"[(\[]\s*\d{1,2}\s*[)\]]",
-        rf"(?i)\b(?:{words})\b",
-    )
+    steps = (V.VERSION_BRACKET.format(words=words), V.YEAR_BRACKET, V.NUMBER_BRACKET, rf"(?i)\b(?:{words})\b")
     return reduce(lambda x, p: F.regexp_replace(x, p, " "), steps, title)
 
 
@@ -101,7 +96,7 @@ _MARKED = _marked()
 
 
 def live(title: Column) -> Column:
-    return title.rlike(r"(?i)\b(live|in concert|at the)\b")
+    return title.rlike(V.LIVE_MARKER)
 
 
 def pair_id(a: Column, b: Column) -> Column:
@@ -165,14 +160,11 @@ def all_caps(x: Column) -> Column:
 
 
 _EDGE = r"\"'()\[\]{}.,!?;:-"
-_ROMAN = r"^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
 def title_case(x: Column) -> Column:
     """Title case that keeps acronyms, dotted abbreviations and Roman numerals."""
-    special = F.regexp_replace(x, r"\b([Rr])ock\s*['`]?\s*[Nn]\s*['`]?\s*[Rr]oll\b", "$1ock 'n' Roll")
-    special = F.regexp_replace(special, r"(?i)\bR\s*['`&]\s*B\b", "R&B")
-    special = F.regexp_replace(special, r"(?i)\b(?:ft|feat)\b\.?", "feat.")
+    special = reduce(lambda acc, rule: F.regexp_replace(acc, *rule), V.SPECIAL_SPELLINGS, x)
     return F.when(stripped(x) == "", x).otherwise(let(F.split(stripped(special), r"\s+"), _cased_words))
 
 
@@ -183,9 +175,9 @@ def _cased_words(words: Column) -> Column:
         word, clean = part["word"], part["clean"]
         upper = F.upper(clean)
         kept = F.when(clean == "", word).otherwise(F.replace(word, clean, upper))
-        roman = (clean != "") & all_caps(clean) & ~is_in(upper, V.ROMAN_FALSE_FRIENDS) & upper.rlike(_ROMAN)
+        roman = (clean != "") & all_caps(clean) & ~is_in(upper, V.ROMAN_FALSE_FRIENDS) & upper.rlike(V.ROMAN_NUMERAL)
         return (
-            F.when(word.rlike(r"^([A-Za-z]\.){2,}$"), F.upper(word))
+            F.when(word.rlike(V.DOTTED_ABBREVIATION), F.upper(word))
             .when(is_in(upper, V.KEEP_CAPS) | roman, kept)
             .when((i == 0) | (i == F.size(words) - 1), capitalised(word))
             .when(is_in(F.lower(clean), V.LOWERCASE_WORDS), F.lower(word))
@@ -224,37 +216,28 @@ def sanitised(x: Column) -> Column:
 
 
 def needs_sanitising(x: Column) -> Column:
-    return F.coalesce(x.rlike(r'[<>:"/\\|?*\x00-\x1f]') | x.rlike(f"[{V.TYPOGRAPHIC}]") | x.rlike(r"[. ]$"), F.lit(False))
+    return F.coalesce(x.rlike(V.UNSAFE_CHARACTERS) | x.rlike(f"[{V.TYPOGRAPHIC}]") | x.rlike(r"[. ]$"), F.lit(False))
 
 
 def path_component(x: Column) -> Column:
     """One component of a path, safe on every file system; ``Unknown`` if nothing is left."""
     s = plain_typography(F.translate(F.coalesce(x, F.lit("")), "`", "'"))
-    s = F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), r'[\\/:*?"<>|]', "_")
+    s = F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), V.PATH_FORBIDDEN, "_")
     s = F.regexp_replace(squeezed(s), r"^[. ]+|[. ]+$", "")
     return let(s, lambda v: F.when(v == "", "Unknown").when(is_in(F.upper(F.split_part(v, F.lit("."), F.lit(1))), V.RESERVED_NAMES), F.concat(F.lit("_"), v)).otherwise(v))
 
 
 def folder_name(x: Column, limit: int = 120, default: str = "_unknown_") -> Column:
-    s = F.regexp_replace(stripped(F.regexp_replace(x, r'[\\/:*?"<>|]', "_")), r"^\.+|\.+$", "")
+    s = F.regexp_replace(stripped(F.regexp_replace(x, V.PATH_FORBIDDEN, "_")), r"^\.+|\.+$", "")
     s = F.substring(s, 1, limit)
     return F.when(F.coalesce(s, F.lit("")) == "", default).otherwise(s)
 
 
-TRACK_PREFIXES = (
-    r"(?i)^\s*(?:disc|cd)\s*\d+\s*[-_. ]+\s*\d{1,3}\s*[-_. ]+",
-    r"^\s*\d{1,2}\s*[-_.]\s*\d{1,3}\s+",
-    r"^\s*\d{2,3}\s*[-_.]\s+",
-    r"^\s*0\d\s+",
-    r"^\s*\d{2,3}[._]\s*",
-)
-
-
 def without_track_number(x: Column) -> Column:
     """The first prefix that goes and leaves something, else the text itself."""
 
     def shortest(s: Column) -> Column:
-        tries = F.array(*[stripped(F.regexp_replace(s, p, "")) for p in TRACK_PREFIXES])
+        tries = F.array(*[stripped(F.regexp_replace(s, p, "")) for p in V.TRACK_PREFIXES])
         return F.coalesce(F.get(F.filter(tries, lambda t: (t != "") & (t != s)), F.lit(0)), s)
 
     return let(stripped(x), shortest)
@@ -289,10 +272,6 @@ def extension(path: Column) -> Column:
 
 # -- credits ------------------------------------------------------------------
 
-_GUEST = r"(?i)\s+(?:feat\.|featuring|ft\.?|with|duet with|vs\.?|versus|special guest|and friends)(?:\s.*)?$"
-_FEAT = r"(?i)\s+(?:feat\.?|featuring|ft\.?|with|duet with|vs\.?|versus)\s+.*$"
-
-
 def _tail_is_article(x: Column) -> Column:
     return F.lower(stripped(F.regexp_extract(x, r"^[^,]*,(.*)$", 1))).isin("the", "a", "an")
 
@@ -308,7 +287,7 @@ def _unless_protected(x: Column, then: Column, names) -> Column:
 def without_guests(x: Column) -> Column:
     """Guest credits and comma tails go, ``and`` becomes ``&``; protected names stay."""
     steps = (
-        lambda s: stripped(F.regexp_replace(s, _GUEST, "")),
+        lambda s: stripped(F.regexp_replace(s, V.GUEST_CREDIT, "")),
         lambda s: F.when(s.contains("&"), s).otherwise(_before_comma(s)),
         lambda s: F.regexp_replace(s, r"(?i)\band\b", "&"),
     )
@@ -325,19 +304,18 @@ def _through(x: Column, steps, names) -> Column:
 def consolidation_key(x: Column) -> Column:
     """One key for all spellings of an artist; ASCII letters and digits only."""
     s = F.replace(F.replace(without_guests(x), F.lit("°"), F.lit("")), F.lit("&"), F.lit(" and "))
-    s = F.regexp_replace(s, r"(?i)^\s*the\s+", "")
-    s = F.regexp_replace(s, r"(?i),\s*the\s*$", "")
-    s = F.regexp_replace(s, r"(?i)\(\s*the\s*\)\s*$", "")
+    for article in (V.LEADING_THE, V.TRAILING_THE, V.BRACKETED_THE):
+        s = F.regexp_replace(s, article, "")
     return squeezed(F.regexp_replace(F.lower(s), r"[^a-z0-9\s]", " "))
 
 
 def has_article(x: Column) -> Column:
-    return x.rlike(r"(?i)^\s*the\s+") | x.rlike(r"(?i),\s*the\s*$") | x.rlike(r"(?i)\(\s*the\s*\)\s*$")
+    return x.rlike(V.LEADING_THE) | x.rlike(V.TRAILING_THE) | x.rlike(V.BRACKETED_THE)
 
 
 def display_title(x: Column) -> Column:
     """Title case for display: short acronyms stay, connecting words are lower, ``, The`` stays."""
-    tail = r"(?i),\s*the\s*$"
+    tail = V.TRAILING_THE
     words = F.split(stripped(F.regexp_replace(x, tail, "")), r"\s+")
 
     def one(w: Column) -> Column:
@@ -350,7 +328,7 @@ def primary_artist(x: Column) -> Column:
     """The first credited artist, for folder names."""
     raw = stripped(F.when(F.coalesce(x, F.lit("")) == "", "Unknown Artist").otherwise(x))
     steps = [
-        lambda s: stripped(F.regexp_replace(s, _FEAT, "")),
+        lambda s: stripped(F.regexp_replace(s, V.FEATURE_CREDIT, "")),
         lambda s: stripped(F.split_part(s, F.lit(";"), F.lit(1))),
         lambda s: stripped(F.split_part(s, F.lit(" & "), F.lit(1))),
         lambda s: F.coalesce(F.element_at(_dash_parts(s), 1), s),
@@ -371,7 +349,7 @@ def is_various(x: Column) -> Column:
 
 def bracket_artist(path: Column) -> Column:
     """Artist in the first square bracket of the file name, before a label; empty if none."""
-    content = F.regexp_extract(stem(path), r"\[([^\]]+)\]", 1)
+    content = F.regexp_extract(stem(path), V.SQUARE_BRACKET, 1)
     first = stripped(F.split_part(content, F.lit("-"), F.lit(1)))
     return F.when(content.contains("-") & (F.length(first) > 3), first).otherwise(stripped(content))
 
