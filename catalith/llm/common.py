@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOCAL: dict[str, str] = {}
+_PATHS: dict[int, tuple] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +60,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        known, path = _PATHS.pop(id(df), (None, None))
+        if known is not None and known() is df:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +88,19 @@ BATCH_ROWS = 1_000
 BATCH_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, unless their path has it already."""
+    root = str(Path(__file__).resolve().parents[2])
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='catalith-')}/catalith", "zip", root, "catalith"))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts; the settings stay in the session."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

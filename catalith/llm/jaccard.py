@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import bound_batches, map_batches, tidy, written
+from catalith.llm.common import bound_batches, discard, map_batches, tidy, written
 
 #: Members of one part of a group, and queries that meet it in one task, at most.
 PART = 512
@@ -371,11 +371,13 @@ def jaccard_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     empty table gives no rows; further columns are ignored.
     """
     scanned = written(scan_sets(docs, rule), "jaccard-sets")
-    sets = scanned.select("doc_id", "n", "sig")
+    sets = written(scanned.select("doc_id", "n", "sig"), "jaccard-documents")
     classes = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "copies")
     fresh = scanned.where("n > 0").join(reps, "doc_id").select("doc_id", "n", "posts", "copies", "band", "extra").dropDuplicates(["doc_id"])
-    posts, known = post(written(fresh, "jaccard-reps"))
+    fresh = written(fresh, "jaccard-reps")
+    discard(scanned)
+    posts, known = post(fresh)
     heads = posts.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("copies")).alias("rank"), "doc_id", "n")).alias("head")).where("size > 1")
     shared = written(posts.join(heads.select("token", "head"), "token").select("token", "doc_id", "n", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")), "jaccard-shared")
 
@@ -400,4 +402,5 @@ def one_of_each_class(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that stand for their class: those with the smallest id."""
     classes = jaccard_classes(docs, rule)
     gone = classes.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(gone, "jaccard-gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.llm.common import bound_batches
+
 #: Vectors in a block of the index, and queries in a block of queries, about.
 BLOCK = 16_384
 QUERY_BLOCK = 256
@@ -122,6 +124,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, block: int = BLOCK,
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     asked = rows.where(query).withColumn("dim", F.size("embedding"))
+    bound_batches(vectors.sparkSession)
     n, n_asked = rows.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_asked // query_block))
 
