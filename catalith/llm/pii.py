@@ -39,6 +39,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{10,}[0-9]", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Terms or spans that are broadcast, at most; more are joined by a shuffle.
+SMALL = 400_000
 
 
 @dataclass(frozen=True)
@@ -168,7 +170,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame |
     if terms.isEmpty():
         return None
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    if terms.count() <= SMALL:  # a checked size: count only the terms in question
+        counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:
+        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     total = docs.count()
     told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
     own = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -230,7 +235,9 @@ def without_personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> Da
     if added is None:
         changed = changed.withColumn("_all", F.col("_base"))
     else:
-        more = added.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "added")
+        more = written(added.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "added"), "pii-added")
+        if (more.agg(F.sum(F.size("added"))).first()[0] or 0) <= SMALL:  # a checked size: the texts stay where they are
+            more = F.broadcast(more)
         on = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
         changed = changed.join(more, on, "left").withColumn("_all", F.when(F.col("added").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "added"))))
     text = F.when(F.size("_all") > 0, redacted(F.col("text"), F.col("_all"))).otherwise(F.col("text"))

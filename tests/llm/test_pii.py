@@ -97,3 +97,10 @@ def test_sql_agrees_on_the_planted_corpus(spark):
     con.register("documents", pd.DataFrame(corpus(), columns=["doc_id", "text"]))
     df = pii.find_personal_data(spark.createDataFrame(corpus(), "doc_id long, text string"))
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(ORACLES["op8_pii"]).fetchall())
+
+
+def test_large_sides_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    want = sorted(map(tuple, pii.find_personal_data(df).collect())), sorted(map(tuple, pii.without_personal_data(df).collect()))
+    monkeypatch.setattr(pii, "SMALL", -1)
+    assert (sorted(map(tuple, pii.find_personal_data(df).collect())), sorted(map(tuple, pii.without_personal_data(df).collect()))) == want
