@@ -39,7 +39,7 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{10,}[0-9]", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<start:int,end:int,value:string>>"
-#: Terms or spans that are broadcast, at most; more are joined by a shuffle.
+#: Spans that are broadcast, at most; more are joined by a shuffle.
 SMALL = 400_000
 
 
@@ -170,10 +170,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame |
     if terms.isEmpty():
         return None
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)))).alias("term"))
-    if terms.count() <= SMALL:  # a checked size: count only the terms in question
-        counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     total = docs.count()
     told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
     own = F.log(F.lit(float(total)) / F.col("n_e"))
