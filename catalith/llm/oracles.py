@@ -77,6 +77,8 @@ FROM o GROUP BY pair_id, n
 """,
 }
 
+ORACLES["op3_bm25_documents"] = ORACLES["op3_bm25"].replace("item_id AS query_id", "doc_id AS query_id").replace("benchmark WHERE item_id IS NOT NULL", "documents WHERE doc_id % 20 = 0")
+
 ORACLES["op6_jaccard"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws

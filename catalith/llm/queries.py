@@ -83,5 +83,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of a twentieth of ``documents`` against every row of ``documents``."""
+    from pyspark.sql import functions as F
+
+    from catalith.llm.bm25 import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
+#: Wider jobs of operators whose own query is held to its SQL.
+FURTHER: dict[str, Query] = {"op3_bm25_documents": search_documents}
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
