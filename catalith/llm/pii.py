@@ -8,6 +8,9 @@ entity's own information is IC(e) = log(N / n_e).  A term whose share PMI / IC
 reaches DISCLOSURE, in at least SUPPORT different texts, gives the entity away
 although the entity itself is gone; its occurrences in the entity's contexts are
 added to the spans.  Entities are generalised to their kind, such terms removed.
+
+With ``context`` None the whole document is an entity's context, and every
+occurrence of such a term is added, in documents without the entity as well.
 """
 
 from __future__ import annotations
@@ -45,11 +48,17 @@ SMALL = 400_000
 
 @dataclass(frozen=True)
 class Disclosure:
-    context: int = 80
+    """``context``: characters on each side of a mention, or None for the whole document."""
+
+    context: int | None = 80
     support: int = 5
     share: float = 0.9
 
 
+#: Whole documents are contexts.
+WHOLE = Disclosure(context=None)
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -138,10 +147,19 @@ WORD_PATTERN = r"\p{L}{3,}"
 
 
 def analysed(docs: DataFrame, how: Disclosure) -> DataFrame:
-    """doc_id, a hash of the text, base spans, and the context of each mention."""
+    """doc_id, a hash of the text, base spans, and the context of each mention (or the text and its terms)."""
     rows = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("base", base_spans())
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"), how.context)).alias("mentions"))
+    found = lambda c: F.when(F.size("base") > 0, c)
+    kept = [found(contexts(F.col("text"), F.col("base"), how.context or 0)).alias("mentions")]
+    if how.context is None:
+        apart = redacted(F.col("text"), F.col("base"), F.array(*[F.lit("\n")] * len(KINDS)))
+        kept += [found(F.col("text")).alias("text"), found(terms_of(apart)).alias("terms")]
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", *kept)
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lower))
 
 
 def context_terms(rows: DataFrame) -> DataFrame:
@@ -177,8 +195,65 @@ def disclosing(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame |
     return written(pairs.join(counts, "term").where((own > 0) & (told >= how.share * own)).select("entity", "term"), "pii-disclosing")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if ``rows``, a checked size, allows it."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def disclosing_in_documents(docs: DataFrame, held: DataFrame, how: Disclosure) -> DataFrame | None:
+    """(term, elsewhere) of terms that give away an entity of their document; elsewhere: also in rows without any entity."""
+    mentions = held.select("doc_id", "text_hash", "terms", F.explode(F.array_distinct("mentions.entity")).alias("entity")).dropDuplicates(["doc_id", "text_hash", "entity"])
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= how.support)
+    entities = written(entities.select("entity", "n_e"), "pii-entities")
+    if entities.isEmpty():
+        return None
+    pairs = mentions.join(entities, "entity").select("entity", "n_e", "text_hash", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term")
+    texts = F.countDistinct("text_hash") if how.support > 1 else F.count("*")
+    pairs = pairs.agg(F.count("*").alias("n_et"), texts.alias("texts")).where(F.col("texts") >= how.support)
+    word = lambda rows, n: rows.groupBy("term").agg(F.count("*").alias(n))
+    counts = word(docs.select(F.explode(terms_of(F.col("text"))).alias("term")), "n_t")
+    beside = word(held.select(F.explode("terms").alias("term")), "n_held")
+    total = docs.count()
+    told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    own = F.log(F.lit(float(total)) / F.col("n_e"))
+    reveal = pairs.join(counts, "term").where((own > 0) & (told >= how.share * own)).select("term", "n_t").distinct()
+    return written(reveal.join(beside, "term").select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing")
+
+
+def occurrences(text: Column, terms: Column) -> Column:
+    """Spans of all words of ``text`` that are among ``terms``."""
+    gaps = F.split(text, WORD_PATTERN, -1)
+    spans = located(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), gaps, F.lit(0), lambda w: F.array_contains(terms, F.lower(w)))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), F.lit("").alias("value")))
+
+
+def added_everywhere(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
+    """``added_spans`` where whole documents are contexts."""
+    held = rows.where(F.size("base") > 0)
+    reveal = disclosing_in_documents(docs, held, how)
+    if reveal is None or reveal.isEmpty():
+        return None
+    key = ["doc_id", "text_hash"]
+    n = reveal.count()
+    inside = held.select(*key, F.explode("terms").alias("term")).join(small(reveal.select("term"), n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
+    inside = held.dropDuplicates(key).join(inside, key).withColumn("added", occurrences(F.col("text"), F.col("found")))
+    clash = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    inside = inside.select(*key, F.filter("added", lambda s: ~clash(s)).alias("added"))
+    other = reveal.where("elsewhere").select("term")
+    n = other.count()
+    if not n:
+        return inside.where(F.size("added") > 0)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    hits = plain.select(*key, F.explode(terms_of(F.col("text"))).alias("term")).join(small(other, n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
+    hits = written(hits.join(held.select(*key).distinct(), key, "left_anti"), "pii-elsewhere")
+    outside = plain.join(small(hits, hits.count()), key).dropDuplicates(key).select(*key, occurrences(F.col("text"), F.col("found")).alias("added"))
+    return inside.unionByName(outside).where(F.size("added") > 0)
+
+
 def added_spans(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
     """For each (doc_id, text_hash) the spans of terms that give an entity away."""
+    if how.context is None:
+        return added_everywhere(docs, rows, how)
     reveal = disclosing(docs, rows, how)
     if reveal is None or reveal.isEmpty():
         return None
@@ -207,9 +282,9 @@ def find_personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataF
     return out.select("doc_id", *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("all")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
+def redacted(text: Column, spans: Column, marks: Column | None = None) -> Column:
     """The text with entities replaced by their kind and disclosing terms taken out."""
-    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit(""))
+    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit("")) if marks is None else marks
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]

@@ -93,8 +93,15 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"), k=10)
 
 
+def all_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disclosing terms over whole documents."""
+    from catalith.llm.pii import WHOLE, find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"), WHOLE)
+
+
 #: Wider jobs of operators whose own query is held to its SQL.
-FURTHER: dict[str, Query] = {"op3_bm25_documents": search_documents}
+FURTHER: dict[str, Query] = {"op3_bm25_documents": search_documents, "op8_pii_whole": all_personal_data}
 
 
 def queries() -> dict[str, Query]:

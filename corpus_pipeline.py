@@ -22,7 +22,7 @@ from catalith.llm.common import written
 from catalith.llm.jaccard import Rule, one_of_each_class
 from catalith.llm.language import keep_identified
 from catalith.llm.mixing import mixed_documents
-from catalith.llm.pii import without_personal_data
+from catalith.llm.pii import WHOLE, without_personal_data
 from catalith.llm.queries import table, tokenizer_path
 
 
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_personal_data(docs)
+    return without_personal_data(docs, WHOLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Jobs that once were done in part."""
 
-from catalith.llm import bm25
+from catalith.llm import bm25, pii
 from tests.conftest import SF
 from tests.llm.test_search import brute_bm25
 
@@ -16,3 +16,21 @@ def test_documents_are_queries(spark, monkeypatch):
     asked = {i: t for i, t in docs if i % 20 == 0}
     assert got == {i: found for i, t in asked.items() if (found := brute_bm25(docs, t, 10))} and len(got) > 5
     assert max(len(set(bm25.words(t))) for t in asked.values()) >= bm25.MANY
+
+
+def terms_found(df, texts, how):
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in pii.find_personal_data(df, how).collect()}
+    return {i: [texts[i][int(a) : int(b)] for k, a, b in found if k == "term"] for i, found in spans.items()}
+
+
+def test_terms_far_from_the_mention(spark):
+    far = " the rest and the note" * 30
+    rows = [(i, f"Zanzibar wrote{far} boss@example.org{far} zanzibar") for i in range(8)]
+    rows += [(i, f"filler {far}") for i in range(8, 300)] + [(300, "by zanzibar, the note")]
+    rows = [(i, t + f" {i}") for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = terms_found(df, dict(rows), pii.WHOLE)
+    assert all(got[i].count("zanzibar") == 1 and got[i].count("Zanzibar") == 1 and "the" not in got[i] for i in range(8))
+    assert got[300] == ["zanzibar"] and not any(got[i] for i in range(8, 300))
+    clean = {r.doc_id: r.text for r in pii.without_personal_data(df, pii.WHOLE).collect()}
+    assert not any("zanzibar" in clean[i].lower() for i in clean) and all(clean[i] == t for i, t in rows[8:300])
