@@ -48,15 +48,21 @@ SMALL = 400_000
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``context``: characters on each side of a mention, or None for the whole document."""
+    """``context``: characters on each side of a mention, or None for the whole document.
+
+    ``smooth`` (whole documents only) counts so many more documents with the term,
+    in which the entity is as frequent as anywhere; ``words`` finds the terms there.
+    """
 
     context: int | None = 80
     support: int = 5
     share: float = 0.9
+    smooth: float = 0.0
+    words: str = r"\p{L}{3,}"
 
 
-#: Whole documents are contexts.
-WHOLE = Disclosure(context=None)
+#: Whole documents are contexts, of every entity, and any word may be a term.
+WHOLE = Disclosure(context=None, support=1, smooth=1.0, words=r"[\p{L}\p{M}\p{N}_]+")
 
 
 def digits(match: Column) -> Column:
@@ -154,12 +160,12 @@ def analysed(docs: DataFrame, how: Disclosure) -> DataFrame:
     kept = [found(contexts(F.col("text"), F.col("base"), how.context or 0)).alias("mentions")]
     if how.context is None:
         apart = redacted(F.col("text"), F.col("base"), F.array(*[F.lit("\n")] * len(KINDS)))
-        kept += [found(F.col("text")).alias("text"), found(terms_of(apart)).alias("terms")]
+        kept += [found(F.col("text")).alias("text"), found(terms_of(apart, how.words)).alias("terms")]
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", *kept)
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lower))
+def terms_of(text: Column, words: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(words), F.lit(0)), F.lower))
 
 
 def context_terms(rows: DataFrame) -> DataFrame:
@@ -211,19 +217,20 @@ def disclosing_in_documents(docs: DataFrame, held: DataFrame, how: Disclosure) -
     texts = F.countDistinct("text_hash") if how.support > 1 else F.count("*")
     pairs = pairs.agg(F.count("*").alias("n_et"), texts.alias("texts")).where(F.col("texts") >= how.support)
     word = lambda rows, n: rows.groupBy("term").agg(F.count("*").alias(n))
-    counts = word(docs.select(F.explode(terms_of(F.col("text"))).alias("term")), "n_t")
+    counts = word(docs.select(F.explode(terms_of(F.col("text"), how.words)).alias("term")), "n_t")
     beside = word(held.select(F.explode("terms").alias("term")), "n_held")
     total = docs.count()
-    told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    usual = F.col("n_e") / F.lit(float(total))
+    told = F.log((F.col("n_et") + how.smooth * usual) / (F.greatest("n_t", "n_et") + how.smooth) / usual)
     own = F.log(F.lit(float(total)) / F.col("n_e"))
     reveal = pairs.join(counts, "term").where((own > 0) & (told >= how.share * own)).select("term", "n_t").distinct()
     return written(reveal.join(beside, "term").select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing")
 
 
-def occurrences(text: Column, terms: Column) -> Column:
+def occurrences(text: Column, terms: Column, words: str) -> Column:
     """Spans of all words of ``text`` that are among ``terms``."""
-    gaps = F.split(text, WORD_PATTERN, -1)
-    spans = located(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), gaps, F.lit(0), lambda w: F.array_contains(terms, F.lower(w)))
+    gaps = F.split(text, words, -1)
+    spans = located(F.regexp_extract_all(text, F.lit(words), F.lit(0)), gaps, F.lit(0), lambda w: F.array_contains(terms, F.lower(w)))
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), F.lit("").alias("value")))
 
 
@@ -236,7 +243,7 @@ def added_everywhere(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataF
     key = ["doc_id", "text_hash"]
     n = reveal.count()
     inside = held.select(*key, F.explode("terms").alias("term")).join(small(reveal.select("term"), n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
-    inside = held.dropDuplicates(key).join(inside, key).withColumn("added", occurrences(F.col("text"), F.col("found")))
+    inside = held.dropDuplicates(key).join(inside, key).withColumn("added", occurrences(F.col("text"), F.col("found"), how.words))
     clash = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     inside = inside.select(*key, F.filter("added", lambda s: ~clash(s)).alias("added"))
     other = reveal.where("elsewhere").select("term")
@@ -244,9 +251,9 @@ def added_everywhere(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataF
     if not n:
         return inside.where(F.size("added") > 0)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    hits = plain.select(*key, F.explode(terms_of(F.col("text"))).alias("term")).join(small(other, n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
+    hits = plain.select(*key, F.explode(terms_of(F.col("text"), how.words)).alias("term")).join(small(other, n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
     hits = written(hits.join(held.select(*key).distinct(), key, "left_anti"), "pii-elsewhere")
-    outside = plain.join(small(hits, hits.count()), key).dropDuplicates(key).select(*key, occurrences(F.col("text"), F.col("found")).alias("added"))
+    outside = plain.join(small(hits, hits.count()), key).dropDuplicates(key).select(*key, occurrences(F.col("text"), F.col("found"), how.words).alias("added"))
     return inside.unionByName(outside).where(F.size("added") > 0)
 
 

@@ -34,3 +34,10 @@ def test_terms_far_from_the_mention(spark):
     assert got[300] == ["zanzibar"] and not any(got[i] for i in range(8, 300))
     clean = {r.doc_id: r.text for r in pii.without_personal_data(df, pii.WHOLE).collect()}
     assert not any("zanzibar" in clean[i].lower() for i in clean) and all(clean[i] == t for i, t in rows[8:300])
+
+
+def test_terms_of_rare_entities(spark):
+    rows = [(i, f"mail pair@example.org for 李雷 or user_77 in {i} of the rest") for i in range(2)]
+    rows += [(i, f"filler {i} for the rest or in of mail") for i in range(2, 300)]
+    got = terms_found(spark.createDataFrame(rows, "doc_id long, text string"), dict(rows), pii.WHOLE)
+    assert got[0] == got[1] == ["李雷", "user_77"] and not any(got[i] for i in range(2, 300))
