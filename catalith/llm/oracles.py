@@ -123,7 +123,7 @@ def _located(found: str, gaps: str, offset: str) -> str:
 
 
 def _personal_data() -> str:
-    """The four patterns as they stand, then contexts, counts and shares, step by step."""
+    """The four patterns as they stand, then the words outside of them, counts and shares, step by step."""
     kinds = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
         "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0"),
@@ -134,25 +134,28 @@ def _personal_data() -> str:
     for i, (pattern, test) in enumerate(kinds.values()):
         spans = _located(f"regexp_extract_all(text, '{pattern}')", f"string_split_regex(text, '{pattern}')", "0")
         found.append(f"SELECT row, text, {i} AS kind, m.s, m.e, m.v FROM (SELECT row, text, m.s, m.e, m.v AS v, regexp_replace(m.v, '[^0-9]', '', 'g') AS d, m FROM (SELECT row, text, unnest({spans}) AS m FROM t)) WHERE {test}")
-    inside = _located("words", "gaps", "off")
     names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " ELSE 'term' END"
     listed = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+    word = r"[\p{L}\p{M}\p{N}_]+"
     return rf"""
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 b AS MATERIALIZED ({' UNION ALL '.join(found)}),
-m AS (SELECT *, kind || ':' || CASE WHEN kind >= 2 THEN regexp_replace(v, '[^0-9]', '', 'g') ELSE lower(v) END AS entity,
-  text[greatest(s - 80, 0) + 1:s] AS pre, text[e + 1:e + 80] AS post FROM b),
-c AS (SELECT row, entity, s - length(CASE WHEN s > 80 THEN regexp_replace(pre, '^\p{{L}}+', '') ELSE pre END) AS off, CASE WHEN s > 80 THEN regexp_replace(pre, '^\p{{L}}+', '') ELSE pre END AS side FROM m
-  UNION ALL SELECT row, entity, e, CASE WHEN length(post) = 80 THEN regexp_replace(post, '\p{{L}}+$', '') ELSE post END FROM m),
-w AS (SELECT row, entity, off, regexp_extract_all(side, '\p{{L}}{{3,}}') AS words, string_split_regex(side, '\p{{L}}{{3,}}') AS gaps FROM c),
-x AS MATERIALIZED (SELECT row, entity, lower(u.v) AS term, u.s, u.e FROM (SELECT row, entity, unnest({inside}) AS u FROM w) o
-  WHERE NOT EXISTS (FROM b WHERE b.row = o.row AND b.s < o.u.e AND o.u.s < b.e)),
-n AS (SELECT count(*) AS n FROM t),
-e AS (SELECT entity, count(DISTINCT (doc_id, text)) AS n_e FROM (SELECT m.entity, t.doc_id, t.text FROM m JOIN t USING (row)) GROUP BY entity HAVING count(DISTINCT text) >= 5),
-p AS (SELECT entity, term, n_e, count(DISTINCT (doc_id, text)) AS n_et FROM x JOIN e USING (entity) JOIN t USING (row) GROUP BY ALL HAVING count(DISTINCT text) >= 5),
-f AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{3,}}'))) AS term FROM documents) WHERE term IN (SELECT term FROM p) GROUP BY term),
-r AS (SELECT entity, term FROM p JOIN f USING (term), n WHERE ln(n / n_e) > 0 AND ln(n_et * n / (n_e * greatest(n_t, n_et))) >= 0.9 * ln(n / n_e)),
-a AS (SELECT row, kind, s, e FROM b UNION ALL SELECT DISTINCT row, 4, s, e FROM x JOIN r USING (entity, term))
+o AS (SELECT row, text, s, coalesce(max(e) OVER (PARTITION BY row ORDER BY s, kind, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+g AS (SELECT row, before AS a, text[before + 1:s] AS part FROM o WHERE before < s
+  UNION ALL SELECT row, max(e), any_value(text)[max(e) + 1:] FROM b GROUP BY row
+  UNION ALL SELECT row, 0, text FROM t WHERE row NOT IN (SELECT row FROM b)),
+d AS MATERIALIZED (SELECT DISTINCT row, lower(w) AS term FROM (SELECT row, unnest(regexp_extract_all(part, '{word}')) AS w FROM g)),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
+m AS (SELECT DISTINCT row, kind || ':' || CASE WHEN kind >= 2 THEN regexp_replace(v, '[^0-9]', '', 'g') ELSE lower(v) END AS entity FROM b),
+e AS (SELECT entity, count(*) AS n_e FROM m GROUP BY entity),
+f AS (SELECT term, count(*) AS n_t FROM d GROUP BY term),
+p AS (SELECT entity, term, count(*) AS n_et FROM m JOIN d USING (row) GROUP BY ALL),
+q AS (SELECT term, n_e / n AS usual, (n_et + 0.25 * (n_e / n)) / (n_t + 0.25) AS given FROM p JOIN e USING (entity) JOIN f USING (term), n),
+r AS MATERIALIZED (SELECT DISTINCT term FROM q WHERE given >= 0.8 AND given >= 2 * usual),
+h AS (SELECT row, a, regexp_extract_all(part, '{word}') AS ws, string_split_regex(part, '{word}') AS gs FROM g WHERE row IN (SELECT row FROM d JOIN r USING (term))),
+u AS (SELECT row, a, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS gap, unnest(range(len(ws))) AS i FROM h),
+x AS (SELECT row, w, a + sum(length(gap) + length(w)) OVER (PARTITION BY row, a ORDER BY i) AS e FROM u),
+a AS (SELECT row, kind, s, e FROM b UNION ALL SELECT row, 4, CAST(e AS INTEGER) - CAST(length(w) AS INTEGER), CAST(e AS INTEGER) FROM x WHERE lower(w) IN (SELECT term FROM r))
 SELECT t.doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(kinds))},
   sha256(coalesce({listed} FILTER (kind < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans
 FROM t LEFT JOIN a USING (row) GROUP BY t.row, t.doc_id

@@ -1,25 +1,30 @@
 """Operator 8: information-theoretic removal of personal data, with DataFrame functions only.
 
-Four patterns find the protected entities.  Around each mention the words within
-CONTEXT characters are its context.  Over the whole corpus, ``n_e`` documents
-mention entity e, ``n_et`` have term t in its context, ``n_t`` have t anywhere.
-The term tells about the entity PMI(e; t) = log(n_et * N / (n_e * n_t)), and the
-entity's own information is IC(e) = log(N / n_e).  A term whose share PMI / IC
-reaches DISCLOSURE, in at least SUPPORT different texts, gives the entity away
-although the entity itself is gone; its occurrences in the entity's contexts are
-added to the spans.  Entities are generalised to their kind, such terms removed.
-
-With ``context`` None the whole document is an entity's context, and every
-occurrence of such a term is added, in documents without the entity as well.
+Four patterns find the protected entities.  A term is a word that lies outside of
+them, anywhere in a document.  Of N documents n_e hold entity e, n_t hold term t and
+n_et both.  With p(e) = n_e / N, the entity's information is IC(e) = -log2 p(e); from
+
+    p(e | t) = (n_et + smooth * p(e)) / (n_t + smooth)
+
+the term tells PMI(e; t) = log2(p(e | t) / p(e)) of it and leaves IC - PMI bits,
+-log2 p(e | t), open.  A term that leaves at most ``left`` bits, and tells at least
+``told``, gives the entity away: all its occurrences are added to the spans, in
+documents that don't name the entity too.  Entities are generalised to their kind, such terms removed.
+
+Entities that lie in the same documents are one class, and so are such terms, so
+that pairs are counted for classes, not for each entity with each word.  Work on a
+text is in proportion to its length (times a logarithm), however many spans it has.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.functions.text import let
 from catalith.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,28 +46,29 @@ PATTERNS = {
 #: A cheap test that every text with a match passes.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{10,}[0-9]", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-SPAN = "array<struct<start:int,end:int,value:string>>"
-#: Spans that are broadcast, at most; more are joined by a shuffle.
+SPAN = "struct<start:int,end:int,value:string>"
+#: Rows that are broadcast, at most; more are joined by a shuffle.
 SMALL = 400_000
+#: Characters that are cut from a text at once; pieces are taken from these cuts.
+CUT = 512
+#: What stands for a document in joins: two hashes of its id and text, as ids may be null or repeated.
+KEY = ["k1", "k2"]
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``context``: characters on each side of a mention, or None for the whole document.
+    """``left`` and ``told`` in bits; ``smooth`` counts so many more documents with the
+    term, in which the entity is as frequent as anywhere; ``words`` finds the terms.
 
-    ``smooth`` (whole documents only) counts so many more documents with the term,
-    in which the entity is as frequent as anywhere; ``words`` finds the terms there.
+    As set here p(e | t) must reach 0.8, at any size of the corpus: a word that one
+    document alone has, beside an entity, just does; a word that documents without
+    the entity have too must be beside it in five of six.
     """
 
-    context: int | None = 80
-    support: int = 5
-    share: float = 0.9
-    smooth: float = 0.0
-    words: str = r"\p{L}{3,}"
-
-
-#: Whole documents are contexts, of every entity, and any word may be a term.
-WHOLE = Disclosure(context=None, support=1, smooth=1.0, words=r"[\p{L}\p{M}\p{N}_]+")
+    left: float = math.log2(1 / 0.8)
+    told: float = 1.0
+    smooth: float = 0.25
+    words: str = r"[\p{L}\p{M}\p{N}_]+"
 
 
 def digits(match: Column) -> Column:
@@ -91,36 +97,34 @@ def valid(kind: str, match: Column) -> Column:
     return F.when((F.length(match) >= 12) & count.between(12, 19), passes_luhn(digits(match))).otherwise(F.lit(False))
 
 
-def located(found: Column, gaps: Column, offset: Column, keep) -> Column:
-    """Matches with their places: what lies between matches tells where they are."""
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    end = lambda acc, x: start(acc, x) + F.coalesce(F.length(x["match"]), F.lit(0))
+def running(values: Column, n: Column, join) -> Column:
+    """The running ``join`` (a sum, a maximum) of ``n`` integers from 0 up, by doubling steps."""
+    steps = F.filter(F.expr("transform(sequence(0, 30), i -> shiftleft(1, i))"), lambda p: p < n)
+    shifted = lambda acc, p: F.concat(F.array_repeat(F.lit(0), p), F.slice(acc, F.lit(1), n - p))
+    return F.aggregate(steps, values, lambda acc, p: F.zip_with(acc, shifted(acc, p), join))
 
-    def merge(acc: Column, x: Column) -> Column:
-        span = F.array(F.struct(start(acc, x).alias("start"), end(acc, x).alias("end"), x["match"].alias("value")))
-        out = F.when(F.coalesce(keep(x["match"]), F.lit(False)), F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end(acc, x).alias("at"), out.alias("out"))
 
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-    begin = F.struct(offset.cast("int").alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(pairs, begin, merge, lambda acc: acc["out"])
+def located(text: Column, pattern: str, keep) -> Column:
+    """The matches of ``pattern`` that pass ``keep``, with their places: what lies between matches tells where they are."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
+    def place(found: Column) -> Column:
+        n = F.size(found)
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda g, m: F.length(g) + F.length(m))
+        spans = lambda ends: F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+        return F.filter(spans(running(sizes, n, lambda a, b: a + b)), lambda s: F.coalesce(keep(s["value"]), F.lit(False)))
 
-def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_email`` .. ``_phone``: the valid matches, as structs (start, end, value)."""
-    plain = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<string>")
-    df = df.withColumns({f"_{k}_m": F.when(plain.rlike(HINTS[k]), F.regexp_extract_all(plain, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
-    df = df.withColumns({f"_{k}_g": F.when(F.size(f"_{k}_m") > 0, F.split(plain, PATTERNS[k], -1)).otherwise(none) for k in KINDS})
-    df = df.withColumns({f"_{k}": located(F.col(f"_{k}_m"), F.col(f"_{k}_g"), F.lit(0), lambda m, k=k: valid(k, m)) for k in KINDS})
-    return df.drop(*[f"_{k}_{x}" for k in KINDS for x in "mg"])
+    none = F.array().cast(f"array<{SPAN}>")
+    return let(found, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))
 
 
-def base_spans() -> Column:
-    """All base spans in order of start, then of kind as listed."""
+def base_spans(text: Column) -> Column:
+    """All valid matches in order of start, then of kind as listed: structs (start, kind, end, value)."""
 
     def of_kind(i: int, kind: str) -> Column:
-        return F.transform(F.col(f"_{kind}"), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+        none = F.array().cast(f"array<{SPAN}>")
+        found = F.when(text.rlike(HINTS[kind]), located(text, PATTERNS[kind], lambda m: valid(kind, m))).otherwise(none)
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
     return F.array_sort(F.concat(*[of_kind(i, k) for i, k in enumerate(KINDS)]))
 
@@ -135,70 +139,68 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def contexts(text: Column, spans: Column, width: int) -> Column:
-    """(entity, before, after, their offsets) of each mention; words cut by the window are left out."""
+def piece(cuts: Column, a: Column, b: Column) -> Column:
+    """The characters from a to b, of a text in cuts of CUT characters."""
+    i, j = ((a - a % CUT) / CUT).cast("int"), ((b - 1 - (b - 1) % CUT) / CUT).cast("int")
+    ends = F.concat(F.substring(F.get(cuts, i), a % CUT + 1, F.lit(CUT)), F.array_join(F.slice(cuts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(cuts, j), F.lit(1), b - j * CUT))
+    return F.when(a >= b, "").when(i == j, F.substring(F.get(cuts, i), a % CUT + 1, b - a)).otherwise(ends)
 
-    def one(s: Column) -> Column:
-        first = F.greatest(s["start"] - width, F.lit(0))
-        before = F.substring(text, first + 1, s["start"] - first)
-        whole = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        after = F.substring(text, s["end"] + 1, F.lit(width))
-        uncut = F.when(F.length(after) == width, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        return F.struct(entity(s).alias("entity"), whole.alias("before"), (s["start"] - F.length(whole)).alias("before_at"), uncut.alias("after"), s["end"].alias("after_at"))
 
-    return F.transform(spans, one)
+def replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with each stretch of overlapping ``spans`` (in order of start) replaced.
 
+    ``mark(span, fresh, grown)`` is put in for each span: whether it begins a stretch, and
+    by how many characters it makes it longer.
+    """
 
-WORD_PATTERN = r"\p{L}{3,}"
+    def build(cuts: Column, spans: Column, reach: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
 
+        def one(s: Column, i: Column) -> Column:
+            fresh = s["start"] >= before(i)
+            grown = F.get(reach, i) - F.greatest(s["start"], before(i))
+            return F.concat(F.when(fresh, piece(cuts, before(i), s["start"])).otherwise(""), mark(s, fresh, grown))
+
+        return F.concat(F.array_join(F.transform(spans, one), ""), piece(cuts, F.element_at(reach, -1), F.length(text)))
+
+    ends = lambda spans: running(F.transform(spans, lambda s: s["end"]), F.size(spans), lambda a, b: F.greatest(a, b))
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))
+    changed = let(F.struct(cut.alias("cuts"), spans.alias("spans")), lambda x: let(ends(x["spans"]), lambda reach: build(x["cuts"], x["spans"], reach)))
+    return F.when(F.size(spans) > 0, changed).otherwise(text)
 
-def analysed(docs: DataFrame, how: Disclosure) -> DataFrame:
-    """doc_id, a hash of the text, base spans, and the context of each mention (or the text and its terms)."""
-    rows = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    rows = rows.withColumn("base", base_spans())
-    found = lambda c: F.when(F.size("base") > 0, c)
-    kept = [found(contexts(F.col("text"), F.col("base"), how.context or 0)).alias("mentions")]
-    if how.context is None:
-        apart = redacted(F.col("text"), F.col("base"), F.array(*[F.lit("\n")] * len(KINDS)))
-        kept += [found(F.col("text")).alias("text"), found(terms_of(apart, how.words)).alias("terms")]
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", *kept)
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with line feeds in place of its entities, so that the rest keeps its places."""
+    return replaced(text, spans, lambda s, fresh, grown: F.repeat(F.lit("\n"), grown))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with entities replaced by their kind and disclosing terms taken out."""
+    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit(""))
+    return replaced(text, spans, lambda s, fresh, grown: F.when(fresh, F.element_at(marks, s["kind"] + 1)).otherwise(""))
 
 
 def terms_of(text: Column, words: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(words), F.lit(0)), F.lower))
-
-
-def context_terms(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, entity, term, start, end) of each word of a mention's context."""
-    m = rows.where(F.size("base") > 0).select("doc_id", "text_hash", F.explode("mentions").alias("m"), "base")
-    sides = F.explode(F.array(*[F.struct(F.col(f"m.{s}").alias("side"), F.col(f"m.{s}_at").alias("at")) for s in ("before", "after")])).alias("s")
-    m = m.select("doc_id", "text_hash", "base", "m.entity", sides)
-    m = m.withColumn("found", F.regexp_extract_all("s.side", F.lit(WORD_PATTERN), F.lit(0))).where(F.size("found") > 0)
-    m = m.withColumn("gaps", F.split("s.side", WORD_PATTERN, -1))
-    m = m.select("doc_id", "text_hash", "base", "entity", F.explode(located(F.col("found"), F.col("gaps"), F.col("s.at"), lambda x: x.isNotNull())).alias("w"))
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    return m.where(apart).select("doc_id", "text_hash", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-
-
-def disclosing(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
-    """(entity, term) pairs beyond the threshold; None if no entity has the support."""
-    mentions = rows.where(F.size("base") > 0).select("doc_id", "text_hash", F.explode("mentions.entity").alias("entity")).distinct()
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= how.support)
-    entities = written(entities.select("entity", "n_e"), "pii-entities")
-    if entities.isEmpty():
-        return None
-    near = context_terms(rows).join(entities, "entity")
-    pairs = near.groupBy("entity", "term", "n_e").agg(F.countDistinct("doc_id", "text_hash").alias("n_et"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= how.support)
-    pairs = written(pairs.select("entity", "term", "n_e", "n_et"), "pii-pairs")
-    terms = written(pairs.select("term").distinct(), "pii-terms")
-    if terms.isEmpty():
-        return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    total = docs.count()
-    told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    own = F.log(F.lit(float(total)) / F.col("n_e"))
-    return written(pairs.join(counts, "term").where((own > 0) & (told >= how.share * own)).select("entity", "term"), "pii-disclosing")
+    """Distinct words, each in lower case by itself: two letters' lower case depends on what follows or is longer."""
+    found = lambda text: F.regexp_extract_all(text, F.lit(words), F.lit(0))
+    alone = text.contains("\u03a3") | text.contains("\u0130")
+    return F.array_distinct(F.when(alone, F.transform(found(text), lambda w: F.lower(w))).otherwise(found(F.lower(text))))
+
+
+def key_of(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), text, doc_id).alias("k2")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and key of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", *key_of(F.col("doc_id"), F.col("text")))
+
+
+def analysed(docs: DataFrame, how: Disclosure) -> DataFrame:
+    """doc_id, key, base spans and distinct terms of each row; written, so that texts are cut into words once."""
+    rows = keyed(docs).withColumn("base", base_spans(F.col("text"))).withColumn("apart", blanked(F.col("text"), F.col("base")))
+    return written(rows.select("doc_id", *KEY, "base", terms_of(F.col("apart"), how.words).alias("terms")), "pii-base")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -206,74 +208,67 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def disclosing_in_documents(docs: DataFrame, held: DataFrame, how: Disclosure) -> DataFrame | None:
-    """(term, elsewhere) of terms that give away an entity of their document; elsewhere: also in rows without any entity."""
-    mentions = held.select("doc_id", "text_hash", "terms", F.explode(F.array_distinct("mentions.entity")).alias("entity")).dropDuplicates(["doc_id", "text_hash", "entity"])
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= how.support)
-    entities = written(entities.select("entity", "n_e"), "pii-entities")
-    if entities.isEmpty():
-        return None
-    pairs = mentions.join(entities, "entity").select("entity", "n_e", "text_hash", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term")
-    texts = F.countDistinct("text_hash") if how.support > 1 else F.count("*")
-    pairs = pairs.agg(F.count("*").alias("n_et"), texts.alias("texts")).where(F.col("texts") >= how.support)
-    word = lambda rows, n: rows.groupBy("term").agg(F.count("*").alias(n))
-    counts = word(docs.select(F.explode(terms_of(F.col("text"), how.words)).alias("term")), "n_t")
-    beside = word(held.select(F.explode("terms").alias("term")), "n_held")
-    total = docs.count()
-    usual = F.col("n_e") / F.lit(float(total))
-    told = F.log((F.col("n_et") + how.smooth * usual) / (F.greatest("n_t", "n_et") + how.smooth) / usual)
-    own = F.log(F.lit(float(total)) / F.col("n_e"))
-    reveal = pairs.join(counts, "term").where((own > 0) & (told >= how.share * own)).select("term", "n_t").distinct()
-    return written(reveal.join(beside, "term").select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing")
-
+def alike() -> list[Column]:
+    """Two hashes of the documents of a group with one row for each: what lies in the same documents has the same ones."""
+    return [F.bit_xor(F.xxhash64(F.lit(seed), *KEY)).alias(f"h{seed}") for seed in (1, 2)]
 
-def occurrences(text: Column, terms: Column, words: str) -> Column:
-    """Spans of all words of ``text`` that are among ``terms``."""
-    gaps = F.split(text, words, -1)
-    spans = located(F.regexp_extract_all(text, F.lit(words), F.lit(0)), gaps, F.lit(0), lambda w: F.array_contains(terms, F.lower(w)))
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), F.lit("").alias("value")))
 
-
-def added_everywhere(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
-    """``added_spans`` where whole documents are contexts."""
+def disclosing(rows: DataFrame, how: Disclosure) -> DataFrame | None:
+    """(term, elsewhere) of terms that give an entity away; elsewhere: also in rows without any entity."""
     held = rows.where(F.size("base") > 0)
-    reveal = disclosing_in_documents(docs, held, how)
-    if reveal is None or reveal.isEmpty():
-        return None
-    key = ["doc_id", "text_hash"]
-    n = reveal.count()
-    inside = held.select(*key, F.explode("terms").alias("term")).join(small(reveal.select("term"), n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
-    inside = held.dropDuplicates(key).join(inside, key).withColumn("added", occurrences(F.col("text"), F.col("found"), how.words))
-    clash = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    inside = inside.select(*key, F.filter("added", lambda s: ~clash(s)).alias("added"))
-    other = reveal.where("elsewhere").select("term")
-    n = other.count()
+    held = held.select(*KEY, F.array_distinct(F.transform("base", entity)).alias("entities"), "terms")
+    held = written(held.groupBy(*KEY).agg(F.count("*").alias("rows"), F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms")), "pii-held")
+    total = rows.count()
+    # p(e | t) can't exceed (n_held + smooth) / (n_t + smooth), so commoner words go first
+    reach = round(2.0**-how.left, 12)
+    beside = F.count_if(F.size("base") > 0)
+    words = rows.select(F.explode("terms").alias("term"), "base").groupBy("term").agg(F.count("*").alias("n_t"), beside.alias("n_held"))
+    words = words.where((F.col("n_held") > 0) & (F.col("n_held") + how.smooth >= reach * (F.col("n_t") + how.smooth)))
+    words = written(words, "pii-words")
+    n = words.count()
     if not n:
-        return inside.where(F.size("added") > 0)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    hits = plain.select(*key, F.explode(terms_of(F.col("text"), how.words)).alias("term")).join(small(other, n), "term").groupBy(*key).agg(F.collect_set("term").alias("found"))
-    hits = written(hits.join(held.select(*key).distinct(), key, "left_anti"), "pii-elsewhere")
-    outside = plain.join(small(hits, hits.count()), key).dropDuplicates(key).select(*key, occurrences(F.col("text"), F.col("found"), how.words).alias("added"))
-    return inside.unionByName(outside).where(F.size("added") > 0)
+        return None
+    places = held.select(*KEY, F.explode("terms").alias("term")).join(small(words, n), "term")
+    places = written(places.select("term", "n_t", *KEY), "pii-places")
+    terms = written(places.groupBy("term", "n_t").agg(*alike()), "pii-terms")
+    named_places = held.select(*KEY, "rows", F.explode("entities").alias("entity"))
+    entities = written(named_places.groupBy("entity").agg(F.sum("rows").alias("n_e"), *alike()), "pii-entities")
+
+    e_class = named_places.join(entities, "entity").select(*KEY, "rows", "n_e", F.col("h1").alias("e1"), F.col("h2").alias("e2")).distinct()
+    t_class = places.select("term", *KEY).join(terms, "term").select(*KEY, "n_t", F.col("h1").alias("t1"), F.col("h2").alias("t2")).distinct()
+    pairs = e_class.join(t_class, KEY).groupBy("n_e", "e1", "e2", "n_t", "t1", "t2").agg(F.sum("rows").alias("n_et"))
+    usual = F.col("n_e") / F.lit(float(total))
+    given = (F.col("n_et") + how.smooth * usual) / (F.col("n_t") + how.smooth)
+    found = pairs.where((given >= reach) & (given >= 2.0**how.told * usual)).select("n_t", F.col("t1").alias("h1"), F.col("t2").alias("h2")).distinct()
+    reveal = terms.join(found, ["n_t", "h1", "h2"]).select("term").join(words, "term")
+    return written(reveal.select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing")
 
 
 def added_spans(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
-    """For each (doc_id, text_hash) the spans of terms that give an entity away."""
-    if how.context is None:
-        return added_everywhere(docs, rows, how)
-    reveal = disclosing(docs, rows, how)
-    if reveal is None or reveal.isEmpty():
+    """For each key the spans of terms that give an entity away (column ``added``); written."""
+    reveal = disclosing(rows, how)
+    n = reveal.count() if reveal is not None else 0
+    if not n:
         return None
-    hits = context_terms(rows).join(reveal, ["entity", "term"]).select("doc_id", "text_hash", "start", "end").distinct()
+    other = reveal.where("elsewhere")
+    holders = lambda part, terms, n: part.select(*KEY, F.explode("terms").alias("term")).join(small(terms.select("term"), n), "term", "left_semi").select(*KEY)
+    hits = holders(rows.where(F.size("base") > 0), reveal, n).unionByName(holders(rows.where(F.size("base") == 0), other, other.count()))
+    hits = written(hits.distinct(), "pii-hits")
+    texts = keyed(docs).join(small(hits, hits.count()), KEY, "left_semi").dropDuplicates(KEY)
+    words = texts.withColumn("base", base_spans(F.col("text"))).select(*KEY, located(blanked(F.col("text"), F.col("base")), how.words, lambda w: w.isNotNull()).alias("words"))
+    words = words.select(*KEY, F.explode("words").alias("w")).select(*KEY, "w.start", "w.end", F.lower("w.value").alias("term"))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.lit("").alias("value"))
-    return hits.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("added"))
+    found = words.join(small(reveal.select("term"), n), "term", "left_semi").groupBy(*KEY).agg(F.collect_list(span).alias("added"))
+    return written(found, "pii-added")
 
 
 def with_all_spans(rows: DataFrame, added: DataFrame | None) -> DataFrame:
+    """Add ``spans``, base and added ones, to rows with key and ``base``."""
     if added is None:
-        return rows.withColumn("all", F.col("base"))
-    rows = rows.join(added, ["doc_id", "text_hash"], "left")
-    return rows.withColumn("all", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))).drop("added")
+        return rows.withColumn("spans", F.col("base"))
+    n = added.agg(F.sum(F.size("added"))).first()[0] or 0
+    rows = rows.join(small(added, n), KEY, "left")
+    return rows.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))).drop("added")
 
 
 def find_personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
@@ -281,45 +276,25 @@ def find_personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataF
 
     Offsets are code points, ends exclusive.  Null texts are empty and have no
     spans; an empty table gives no rows; rows with the same id and text get the same
-    spans; further columns are ignored.
+    spans; repeated rows count as documents of their own; further columns are ignored.
     """
-    rows = written(analysed(docs, how), "pii-base")
-    out = with_all_spans(rows, added_spans(docs, rows, how))
+    rows = analysed(docs, how)
+    out = with_all_spans(rows.drop("terms"), added_spans(docs, rows, how))
     n = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    return out.select("doc_id", *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("all")).alias("spans"))
-
-
-def redacted(text: Column, spans: Column, marks: Column | None = None) -> Column:
-    """The text with entities replaced by their kind and disclosing terms taken out."""
-    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit("")) if marks is None else marks
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return out.select("doc_id", *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
 def without_personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """The rows of ``docs`` with personal data and disclosing terms taken out of the texts.
 
     Rows without any keep their text; null texts stay null; ``n_chars``, if there,
-    is the new length.  Of overlapping spans the first counts, its mark standing for all.
+    is the new length.  Of overlapping spans the first counts, its mark standing for
+    all.  Columns of any name pass through: the row travels as one struct.
     """
-    rows = written(analysed(docs, how).where(F.size("base") > 0), "pii-base")
-    added = added_spans(docs, rows, how)
-    changed = with_base_spans(docs).withColumn("_base", base_spans()).drop(*[f"_{k}" for k in KINDS])
-    if added is None:
-        changed = changed.withColumn("_all", F.col("_base"))
-    else:
-        more = written(added.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "added"), "pii-added")
-        if (more.agg(F.sum(F.size("added"))).first()[0] or 0) <= SMALL:  # a checked size: the texts stay where they are
-            more = F.broadcast(more)
-        on = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-        changed = changed.join(more, on, "left").withColumn("_all", F.when(F.col("added").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "added"))))
-    text = F.when(F.size("_all") > 0, redacted(F.col("text"), F.col("_all"))).otherwise(F.col("text"))
-    changed = changed.withColumn("_new", text)
-    columns = {"text": F.col("_new").alias("text"), "n_chars": F.coalesce(F.length("_new").cast("long"), F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
-    return changed.select(*[columns.get(c) if columns.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    added = added_spans(docs, analysed(docs, how), how)
+    row, text = F.col("row"), F.coalesce(F.col("row.text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", *key_of(F.col("row.doc_id").cast("long"), text), base_spans(text).alias("base"))
+    rows = with_all_spans(rows, added).select("row", F.when(F.size("spans") > 0, redacted(text, F.col("spans"))).otherwise(F.col("row.text")).alias("new"))
+    changed = {"text": F.col("new").alias("text"), "n_chars": F.coalesce(F.length("new").cast("long"), row["n_chars"]).alias("n_chars") if "n_chars" in docs.columns else None}
+    return rows.select(*[changed.get(c) if changed.get(c) is not None else row[c].alias(c) for c in docs.columns])

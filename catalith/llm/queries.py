@@ -48,7 +48,7 @@ def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from catalith.llm.chat import preference_pairs
 
-    return preference_pairs(table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    return preference_pairs(table(spark, sf_dir, "conversations"), F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,15 +93,8 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"), k=10)
 
 
-def all_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disclosing terms over whole documents."""
-    from catalith.llm.pii import WHOLE, find_personal_data
-
-    return find_personal_data(table(spark, sf_dir, "documents"), WHOLE)
-
-
 #: Wider jobs of operators whose own query is held to its SQL.
-FURTHER: dict[str, Query] = {"op3_bm25_documents": search_documents, "op8_pii_whole": all_personal_data}
+FURTHER: dict[str, Query] = {"op3_bm25_documents": search_documents}
 
 
 def queries() -> dict[str, Query]:

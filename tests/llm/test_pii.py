@@ -53,13 +53,47 @@ def test_base_spans(spark):
 
 
 def corpus():
-    """One mailbox in eight texts, always near one word; other words are everywhere."""
-    texts = [f"note {i}: the keeper zanzibar wrote from boss@example.org about matter{i} and the rest" for i in range(8)]
-    texts += [f"filler text {i} about the rest and nothing that matters, the note" for i in range(300)]
-    texts += [f"write to person{i}@example.org about the rest" for i in range(20)]
+    """One mailbox in eight texts, always beside one word; other words are everywhere."""
+    texts = [f"note {i}: the keeper zanzibar wrote from boss@example.org about matter{i % 2} and the rest" for i in range(8)]
+    texts += [f"filler text {i % 7} about the rest and nothing that matters, the note" for i in range(300)]
+    texts += [f"write to person{i}@example.org about the rest of x{i}" for i in range(20)]
+    texts += ["here the ZANZIBAR is alone", None, "", "İzmir ΟΔΟΣ'α +1 415 555 2671", "ΟΔΟΣ and izmir"]
     return list(enumerate(texts))
 
 
+def brute(rows):
+    """Terms by the formula itself, entity with word; then all spans of each text."""
+    import regex
+
+    word, places, docs = regex.compile(r"[\p{L}\p{M}\p{N}_]+"), [], []
+    for _, text in rows:
+        spans, blank = base(text), list(text or "")
+        for _, a, b in spans:
+            blank[a:b] = "\n" * (b - a)
+        words = [(m[0].lower(), m.start(), m.end()) for m in word.finditer("".join(blank))]
+        names = set()
+        for k, a, b in spans:
+            names.add((k, re.sub("[^0-9]", "", text[a:b]) if k in ("card", "phone") else text[a:b].lower()))
+        places.append((spans, words))
+        docs.append((names, {w for w, _, _ in words}))
+    total, n_e, n_t, n_et = len(rows), {}, {}, {}
+    for names, words in docs:
+        for e in names:
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in words:
+                n_et[e, w] = n_et.get((e, w), 0) + 1
+        for w in words:
+            n_t[w] = n_t.get(w, 0) + 1
+    found = set()
+    for (e, w), n in n_et.items():
+        usual = n_e[e] / total
+        given = (n + 0.25 * usual) / (n_t[w] + 0.25)
+        if given >= 0.8 and given >= 2 * usual:
+            found.add(w)
+    order = {k: i for i, k in enumerate((*PLAIN, "term"))}
+    return [joined(sorted(spans + [("term", a, b) for w, a, b in words if w in found], key=lambda s: (s[1], order[s[0]], s[2]))) for spans, words in places]
+
+
 def test_terms_that_give_an_entity_away(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -70,13 +104,55 @@ def test_terms_that_give_an_entity_away(spark):
         if r.doc_id < 8:
             assert {"zanzibar", "keeper", "wrote"} <= terms and not terms & {"the", "about", "rest", "note"}
             assert any(k == "email" for k, _, _ in spans)
-        else:
+        elif r.doc_id == 328:  # the word alone, far from any entity
+            assert terms == {"ZANZIBAR"}
+        elif r.doc_id < 308:
             assert not terms
     clean = {r.doc_id: r.text for r in pii.without_personal_data(df).collect()}
     assert "zanzibar" not in clean[0] and "<EMAIL>" in clean[0] and "about" in clean[0]
+    assert clean[328] == "here the  is alone" and clean[329] is None
     assert all(clean[i] == t for i, t in rows[8:308])
 
 
+def test_agrees_with_brute_force(spark):
+    rows = corpus() + [(7, corpus()[7][1])] * 2 + [(None, "who is zanzibar")]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in got) == sorted((-1 if i is None else i, s) for (i, _), s in zip(rows, brute(rows), strict=True))
+
+
+def test_agrees_with_brute_force_on_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in df.collect()]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    assert got == {i: s for (i, _), s in zip(rows, brute(rows), strict=True)}
+    assert sum(s.count("term") for s in got.values()) > 100
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    rows = [(1, "zed a@b.co", 5, "q", [1], 3, 2, "r"), (2, "zed", 6, None, None, 4, 1, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, added int, _base string, spans array<int>, k1 int, row int, new string")
+    got = {r.doc_id: r for r in pii.without_personal_data(df).collect()}
+    assert [c for c in got[1].asDict()] == df.columns
+    assert {i: tuple(r)[2:] for i, r in got.items()} == {r[0]: r[2:] for r in rows}
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"word{i} mail{i}@x.org" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, "a"), (3, "b"), (4, "c")], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.find_personal_data(df).where("doc_id = 1").first()
+        assert row.n_email == n and row.spans.count("term") == n
+        clean = pii.without_personal_data(df).where("doc_id = 1").first().text
+        assert clean == " ".join([" <EMAIL>"] * n)
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(20_000) < 6 * took(5_000)
+
+
 def test_rewritten_rows_keep_their_columns(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", "en", 15), (2, None, "en", 0), (3, "", None, 0), (4, "+1 415 555 2671 and 4111 1111 1111 1111", "x", 39)], "doc_id long, text string, lang string, n_chars long")
     out = pii.without_personal_data(df)
