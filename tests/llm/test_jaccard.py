@@ -76,6 +76,51 @@ def test_components(spark, hard, rule, part, monkeypatch):
     assert got == brute(hard, rule)
 
 
+def brute_rows(rows, rule):
+    """Components where rows share ids: a graph of rows, with links by id too."""
+    sets = [shingles(t, rule.words) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (d, _) in enumerate(rows):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and (d is not None and d == rows[j][0] or rule.den * n >= rule.num * (len(sets[i]) + len(sets[j]) - n)):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None and sets[i]:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return Counter((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_rows_that_share_an_id(spark, parts, monkeypatch):
+    rng = random.Random(parts)
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:59], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(b)), (7, near(b)), (4, near(a)), (9, "x y z"), (9, "x y z"), (9, ""), (10, None), (None, " ".join(a)), (None, "alone by itself")]
+    for i in range(12):
+        rows += [(20 + rng.randrange(6), " ".join(f"c{i // 3}w{k}" if k != i else "q" for k in range(50)))]
+    rng.shuffle(rows)
+    rule = jaccard.Rule(3, 80, 100)
+    monkeypatch.setattr(jaccard, "SMALL", -1 if parts == 2 else 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert Counter(map(tuple, jaccard.jaccard_classes(df, rule).collect())) == brute_rows(rows, rule)
+    kept = Counter(r.doc_id for r in jaccard.one_of_each_class(df, rule).collect())
+    assert kept[4] == 1 and kept[9] == 2 and kept[10] == 1 and not kept[5] and not kept[6] and not kept[7] and kept[None] == 2
+
+
+def test_more_ids_than_the_filter_takes(spark, hard, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_WORDS", 1)
+    df = spark.createDataFrame(hard, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_classes(df, RULES[1]).collect())) == brute(hard, RULES[1])
+
+
 def test_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rule = jaccard.Rule()

@@ -154,7 +154,7 @@ def test_many_spans_in_one_text(spark):
 
 
 def test_rewritten_rows_keep_their_columns(spark):
-    df = spark.createDataFrame([(1, "mail a@b.co now", "en", 15), (2, None, "en", 0), (3, "", None, 0), (4, "+1 415 555 2671 and 4111 1111 1111 1111", "x", 39)], "doc_id long, text string, lang string, n_chars long")
+    df = spark.createDataFrame([(1, "mail a@b.co now", "en", 15), (2, None, "en", 0), (3, "", None, 0), (4, "+1 415 555 2671 and 4111 1111 1111 1111", "x", 39), (5, "mail now and", "en", 12)], "doc_id long, text string, lang string, n_chars long")
     out = pii.without_personal_data(df)
     assert out.columns == df.columns
     rows = {r.doc_id: r for r in out.collect()}
