@@ -72,16 +72,55 @@ def brute_nearest(rows, query_ids, k):
     return out
 
 
-def test_nearest_recall(spark):
-    v = spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding) for r in v.collect()]
-    want = brute_nearest(rows, [i for i, _ in rows if i % 10 == 0], 10)
+def recall(got, want):
+    return sum(len({i for i, _ in want[q]} & {i for i, _ in got.get(q, [])}) for q in want) / sum(map(len, want.values()))
+
+
+def answers(df):
     got = {}
-    for r in nearest.nearest(v, F.col("vec_id") % 10 == 0, k=10, block=64, query_block=8).orderBy("query_id", "rank").collect():
+    for r in df.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
-    assert set(got) == set(want) and hits >= 0.9 * sum(map(len, want.values()))
-    assert all([s for _, s in g] == sorted(s for _, s in g) for g in got.values())
+    return got
+
+
+def test_recall_of_the_query_itself(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = brute_nearest(rows, [i for i, _ in rows if i % 100 == 0], 10)
+    got = answers(entry.queries()["op10_nearest"](spark, sf))
+    assert set(got) == set(want) and recall(got, want) >= 0.99
+    assert all(g[i][1] == want[q][i][1] for q, g in got.items() for i in range(10) if g[i][0] == want[q][i][0])
+
+
+def test_nearest_in_many_blocks_with_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((12, 24)) * 4
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.standard_normal(24) * 0.3]) for i in range(1200)]
+    rows += [(2000 + i, rows[5][1]) for i in range(300)] + [rows[0]] * 2 + [(0, rows[1][1])]  # one vector many times, repeated queries
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 24 * 8 * 60)
+    monkeypatch.setattr(nearest, "LOT_BYTES", 24 * 8 * 7)
+    monkeypatch.setattr(nearest, "SMALL", -1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit("x")).withColumn("cell", F.lit(1))
+    got = answers(nearest.nearest(df, F.col("vec_id") % 10 == 0, k=10))
+    first = {i: min(v for j, v in rows if j == i) for i, _ in rows if i % 10 == 0}
+    for q, v in first.items():
+        d = [(math.dist(v, w), i) for i, w in rows if i != q]
+        assert len(got[q]) == 10 and np.allclose([s for _, s in got[q]], [x for x, _ in sorted(d)[:10]])
+
+
+def test_codes_and_cells_prune():
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((8000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    block = nearest.Block(nearest.encode_block(np.arange(8000), v))
+    for q in range(20):
+        ids, d = block.top(q, v[q], np.inf, 10)
+        exact = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        exact[q] = np.inf
+        assert set(ids) == set(np.argsort(exact)[:10])
+    assert block.compared < 0.25 * 20 * 8000  # of vectors without any structure
 
 
 def test_nearest_leaves_out_what_takes_no_part(spark):
