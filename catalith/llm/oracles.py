@@ -43,8 +43,8 @@ stats AS (SELECT count(*) AS n, (SELECT sum(len) FROM len) / count(*) AS mean FR
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 asked AS (
   SELECT query_id, term, count(*) AS qtf FROM (
-    SELECT item_id AS query_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
-    FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+    SELECT doc_id AS query_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+    FROM documents WHERE doc_id % 20 = 0) GROUP BY ALL),
 scored AS (
   SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
   FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id), stats GROUP BY ALL),
@@ -77,7 +77,7 @@ FROM o GROUP BY pair_id, n
 """,
 }
 
-ORACLES["op3_bm25_documents"] = ORACLES["op3_bm25"].replace("item_id AS query_id", "doc_id AS query_id").replace("benchmark WHERE item_id IS NOT NULL", "documents WHERE doc_id % 20 = 0")
+ORACLES["bm25_benchmark"] = ORACLES["op3_bm25"].replace("doc_id AS query_id", "item_id AS query_id").replace("documents WHERE doc_id % 20 = 0", "benchmark WHERE item_id IS NOT NULL")
 
 ORACLES["op6_jaccard"] = r"""
 WITH RECURSIVE w AS (

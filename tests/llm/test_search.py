@@ -40,19 +40,50 @@ def test_bm25_is_exact_in_many_shards(spark, monkeypatch):
         assert got.get(q.query_id, []) == brute_bm25(rows, q.text, 7)
 
 
-def test_bm25_prunes_blocks():
+def one_shard(lists, terms):
+    rows = [r for b in bm25.shard_batches("s", list(range(len(lists))), [np.array(x, np.uint32) for x in lists], terms) for r in b.to_pylist()]
+    return bm25.Shard(rows[0], rows[0]["df"] / len(lists))
+
+
+def test_bm25_prunes_blocks_and_documents():
     rng = np.random.default_rng(0)
-    lists, terms = [], [b"common", b"rare"]
-    for i in range(20_000):
-        lists.append(np.array([0] * int(rng.integers(1, 5)) + ([1] * 3 if i % 4000 == 7 else []), np.uint32))
-    batches = [*bm25.shard_batches("s", list(range(20_000)), lists, terms, 2.6, bm25.Bm25())]
-    rows = [r for b in batches for r in b.to_pylist()]
-    shard = bm25.Shard(rows[0]["docs"], rows[0]["tfs"], 2.6, bm25.Bm25())
-    for r in rows[1:]:
-        shard.add(r["term"], 5.0 if r["term"] == b"rare" else 0.01, *(r[c] for c in ("docs", "tfs", "blocks", "runs", "maxima")))
-    top = shard.top({b"rare": 1, b"common": 1}, 3)
-    assert len(top) == 3 and all(d % 4000 == 7 for d, _ in top)
-    assert shard.opened * 64 < 20_000
+    lists = [[0] * int(rng.integers(1, 5)) + ([1] * 3 if i % 4000 == 7 else []) for i in range(20_000)]
+    shard = one_shard(lists, [b"common", b"rare"])
+    ids, scores = shard.top(np.array([0, 1]), np.array([0.01, 5.0]), 3)
+    assert all(i % 4000 == 7 for i in ids) and len(ids) == 3 and shard.opened * 64 < 20_000 * 0.2
+    # words that come in languages: half of all documents can't hold the query's words
+    words = [rng.integers(0, 200, 30) + 200 * (i % 2) for i in range(4000)]
+    shard = one_shard(words, [b"%d" % i for i in range(400)])
+    for q in range(20):
+        rows = np.unique(words[q][:8])
+        weights = rng.random(len(rows)) + 0.5
+        ids, scores = shard.top(rows, weights, 5)
+        every = np.zeros(4000)
+        for row, weight in zip(rows, weights, strict=True):
+            docs, impact = shard.of(row)
+            every[docs] += weight * impact
+        assert np.allclose(scores, np.sort(every)[::-1][:5], atol=1e-6) and len(set(ids)) == 5
+    assert shard.opened < 0.7 * 20 * 63 and shard.scored < 0.6 * 20 * 4000
+
+
+def test_bm25_many_terms_at_once_are_exact(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [np.minimum(rng.zipf(1.3, rng.integers(1, 300)), 999) for _ in range(700)]
+    shard = one_shard(words, [b"%d" % i for i in range(1000)])
+    queries = [(rows, rng.random(len(rows)) * 9) for rows in (np.unique(words[i]) for i in range(40)) if len(rows)]
+    for dense in (0, 20, 10**9):
+        monkeypatch.setattr(bm25, "DENSE", dense)
+        for (rows, weights), (ids, scores) in zip(queries, shard.top_many(queries, 10), strict=True):
+            want, found = shard.top(rows, weights, 10)
+            assert list(ids) == list(want) and np.allclose(scores, found, atol=2e-6)
+
+
+def test_bm25_rows_with_one_query_id_are_one_query(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "c c"), (3, "a")], "doc_id long, text string")
+    twice = bm25.search(docs, spark.createDataFrame([(1, "a"), (1, "c"), (None, "a")], "query_id long, text string"), k=3)
+    once = bm25.search(docs, spark.createDataFrame([(1, "a c")], "query_id long, text string"), k=3)
+    got = sorted(map(tuple, twice.collect()))
+    assert got == sorted(map(tuple, once.collect())) and [r[1] for r in got] == [1, 2, 3]
 
 
 def test_bm25_empty(spark):

@@ -11,7 +11,7 @@ def test_documents_are_queries(spark, monkeypatch):
     monkeypatch.setattr(bm25, "PACK", 3)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {}
-    for r in entry.queries()["op3_bm25_documents"](spark, SF).orderBy("query_id", "rank").collect():
+    for r in entry.queries()["op3_bm25"](spark, SF).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     asked = {i: t for i, t in docs if i % 20 == 0}
     assert got == {i: found for i, t in asked.items() if (found := brute_bm25(docs, t, 10))} and len(got) > 5
