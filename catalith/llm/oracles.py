@@ -104,7 +104,7 @@ def _licences() -> str:
 
     expression = "lower(coalesce(text, ''))"
     for pattern, replacement in STEPS:
-        expression = f"regexp_replace({expression}, '{pattern}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
+        expression = f"regexp_replace({expression}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEXTS.items()))
     return f"""
 WITH known AS (SELECT licence, sha256({expression}) AS digest FROM (VALUES {rows}) AS v(licence, text)),

@@ -1,3 +1,8 @@
+import os
+import textwrap
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from catalith.llm import chat, licences
@@ -5,7 +10,7 @@ from catalith.llm import chat, licences
 
 def pairs(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash")).withColumn("better", F.lit(1))
-    out = chat.preference_pairs(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    out = chat.preference_pairs(df, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0)
     return {r.pair_id: r for r in out.collect()}
 
 
@@ -60,3 +65,49 @@ def test_licences(spark):
     assert licences.known_digests(spark).select("digest").distinct().count() == len(licences.TEXTS)
     assert licences.scan_licences(df.limit(0)).count() == 0
     assert licences.scan_licences(df, licences.known_digests(spark)).where("licence is not null").count() == 3
+
+
+def found(spark, rows, known=None):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.licence for r in licences.scan_licences(df, known).collect()}
+
+
+def test_every_listed_licence_however_it_is_wrapped(spark):
+    names, rows, want = sorted(licences.TEXTS), [], {}
+    for i, name in enumerate(names):
+        for j, width in enumerate((60, 66, 72, 76, 80, 100)):
+            lines = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in licences.TEXTS[name].split("\n")]
+            text = "Copyright (c) 2019 The Foo Authors\n\n" * (j % 2) + "\n".join(lines) + "\n"
+            if j % 2 and name == "WTFPL":  # its first line is its title
+                continue
+            rows.append((10 * i + j, text))
+            want[10 * i + j] = name
+    assert len(names) >= 30 and found(spark, rows) == want
+
+
+def test_unlike_texts_have_unlike_digests(spark):
+    df = spark.createDataFrame([(1, "MIT License"), (2, "a license"), (3, "a driving license (for cars)\nis what you need"), (4, "")], "doc_id long, text string")
+    digests = {r.doc_id: r.digest for r in licences.scan_licences(df).collect()}
+    assert len(set(digests.values())) == 4
+
+
+def test_blank_lines_cost_time_in_proportion(spark):
+    assert found(spark, [(1, licences.TEXTS["ISC"])]) == {1: "ISC"}
+    began = time.perf_counter()
+    rows = [(1, "\n" * 1_000_000 + licences.TEXTS["ISC"]), (2, " \n" * 500_000), (3, " " * 1_000_000), (4, "x \n" * 300_000)]
+    assert found(spark, rows) == {1: "ISC", 2: None, 3: None, 4: None}
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no folder of licences")
+def test_a_folder_of_licences(spark):
+    known = licences.licence_files(spark, "file:///usr/share/common-licenses")
+    text = open("/usr/share/common-licenses/GPL-2", encoding="utf-8").read()
+    assert found(spark, [(1, text), (2, text[:-300]), (3, "  " + text.replace("\n\n", "\n \n"))], known) == {1: "GPL-2", 2: None, 3: "GPL-2"}
+
+
+def test_ids_beyond_doubles(spark):
+    big = 2**53
+    rows = [(c, t, r, x) for c in (big + 2, big + 3, 2 * big + 2, 2 * big + 3) for t, r, x in ((0, "user", "same"), (1, "assistant", str(c)))]
+    got = pairs(spark, rows)
+    assert sorted(got) == [big // 2 + 1, big + 1] and all(r.n_prompt_turns == 1 for r in got.values())
