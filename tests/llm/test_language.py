@@ -1,4 +1,8 @@
+import math
 import zlib
+from collections import Counter
+
+import regex
 
 from pyspark.sql import functions as F
 
@@ -28,11 +32,80 @@ def test_odd_texts(spark):
     assert all(s == 0 for _, lang, s in got if lang == "und")
 
 
+def brute(rows, penalty=7.0, orders=(5, 4, 3, 2, 1)):
+    """Prediction and score of each text, straight from the definition."""
+    words = lambda t: regex.findall(r"\p{L}+", t.lower()) if t else []
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in words(text):
+                counts.setdefault(lang, Counter())[w] += 1
+    grams = {}
+    for lang, of in counts.items():
+        for w, n in of.items():
+            padded = f" {w} "
+            for order in orders:
+                for at in range(len(padded) - order + 1):
+                    if (g := padded[at : at + order]) != " ":
+                        grams.setdefault((lang, order), Counter())[g] += n
+    langs = sorted(counts)
+    cost = lambda of, x: min(penalty, -math.log10(of[x] / of.total())) if x in of else penalty
+
+    def of_word(w):
+        if any(w in counts[lang] for lang in langs):
+            return [cost(counts[lang], w) for lang in langs]
+        padded = f" {w} "
+        for order in orders:
+            own = [padded[i : i + order] for i in range(len(padded) - order + 1)]
+            known = [g for g in own if any(g in grams.get((lang, order), ()) for lang in langs)]
+            if known:
+                return [sum(cost(grams.get((lang, order), Counter()), g) for g in known) / len(known) for lang in langs]
+        return [penalty] * len(langs)
+
+    out, kept = {}, {}
+    for i, text, _ in rows:
+        found = words(text)
+        if not found or not langs:
+            out[i] = ("und", 0.0)
+            continue
+        for w in found:
+            if w not in kept:
+                kept[w] = of_word(w)
+        total = [sum(kept[w][j] for w in found) for j in range(len(langs))]
+        best = min(range(len(langs)), key=lambda j: total[j])
+        out[i] = langs[best], 1 / sum(10 ** max(total[best] - t, -300) for t in total)
+    return out
+
+
+def test_agrees_with_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(90_001, "Straße ÉCOLE x", None), (90_002, "qqq zzz", None), (90_003, "a1b2", "xx"), (90_004, None, "xx")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    want = brute([tuple(r) for r in docs.collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(abs(got[i][1] - s) < 1e-9 for i, (_, s) in want.items())
+
+
+def test_a_small_cache_gives_the_same(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = language.identify(docs, language.Settings(cached_bytes=2_000)).orderBy("doc_id").collect()
+    assert few == language.identify(docs).orderBy("doc_id").collect()
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the cat sat on mat {i}", "en") for i in range(3000)] + [(5000 + i, "kissa istui matolla", "fi") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, language.Settings(sample_docs=40))
+    assert model.languages == ["en", "fi"] and "kissa" in model.words and len(model.words) < 100
+    assert {r.lang_pred for r in language.predict(df.where("lang = 'fi'"), model).collect()} == {"fi"}
+
+
 def test_words_come_before_grams(spark):
     model = language.fit(toy(spark))
-    assert model.of_word("the") is model.words["the"]
+    assert list(model.of_word("the")) == list(model.scores[model.words["the"]])
     assert "hunde" not in model.words and min(model.of_word("hunde")) < model.settings.penalty
-    assert model.of_word("ΩΩ") == [model.settings.penalty] * 2
+    assert list(model.of_word("ΩΩ")) == [model.settings.penalty] * 2
 
 
 def test_only_the_text_decides(spark):

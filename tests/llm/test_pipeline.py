@@ -27,7 +27,7 @@ def test_stages(spark, tmp_path):
 
     before, after = seen["language"]
     judge = language.Judge(language.fit(spark.read.parquet(f"{SF}/documents.parquet").unionByName(extra)))
-    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if judge(r.text)[1] >= 0.5)
+    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if judge(r.text)[0] != "und")
     assert not {10**6, 10**6 + 1, 10**6 + 2} & {r.doc_id for r in after}
 
     before, after = seen["near_duplicates"]
