@@ -1,7 +1,6 @@
 """A corpus pipeline of five stages, each over all that its predecessor kept.
 
-language         rejects documents whose language can't be told: no letters, or a
-                 score below one half
+language         rejects documents whose language can't be told, such as those without letters
 near_duplicates  five-word shingles, similarity 0.8: of each class the document
                  with the smallest id stays
 personal_data    entities become their kind, terms that give them away go; no
