@@ -57,7 +57,9 @@ class Splitter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lower = spec["normalizer"] is not None
-        self.find = regex.compile(WORD_END if self.lower else BYTE_LEVEL).findall
+        pattern = regex.compile(WORD_END if self.lower else BYTE_LEVEL)
+        self.find, self.find_spans = pattern.findall, pattern.finditer
+        self.stretches = regex.compile(r"\S+" if self.lower else r"\s*\S+|\s+").finditer
         self.unusual = regex.compile(UNUSUAL).search
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
@@ -72,6 +74,13 @@ class Splitter:
             text = self.tokenizer.normalizer.normalize_str(text)
         return [from_alphabet(p).decode("utf-8", "replace") for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def spans(self, text: str) -> list[tuple[int, int, str]] | None:
+        """Pre-tokens with their places; None if the text has special tokens, unusual characters or changes its length."""
+        lowered = text.lower() if self.lower else text
+        if self.unusual(text) is not None or len(lowered) != len(text) or (self.marks is not None and self.hint in text):
+            return None
+        return [(m.start(), m.end(), m[0]) for m in self.find_spans(lowered)]
+
     def pieces(self, text: str) -> list:
         """Pre-tokens as strings, special tokens as their integer ids."""
         if self.cut is None or self.hint not in text:

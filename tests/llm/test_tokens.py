@@ -53,9 +53,39 @@ def test_every_prefix_of_words():
             except UnicodeDecodeError:
                 continue
             assert counts[i] == len(tok.encode(head, add_special_tokens=False).ids)
-    text = "Hello brave new world, it's 2024."
-    assert index.boundaries(text)[-1] == index.count(text) == len(tok.encode(text).ids)
-    assert [index.prefix_count(text, i) for i in range(len(text))] == [len(tok.encode(text[:i]).ids) for i in range(len(text))]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_prefix_of_texts(name):
+    index, tok = TokenIndex(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    texts = ["Hello brave new world, it's 2024.", "we'RE  here \n\n now!'re 're", "   lead", "trail   ", "", "xyzzyqwertunbroken" * 4, "日本語テスト と x", "a<|endoftext|>b c", "İx ß"]
+    for text in texts:
+        prefixes = index.counted(text)
+        want = [count(text[:i]) for i in range(len(text) + 1)]
+        assert [prefixes.count(i) for i in range(len(text) + 1)] == want and prefixes.count() == want[-1]
+        for budget in range(max(want) + 2):
+            fit = prefixes.fit(budget)
+            assert want[fit] <= budget
+            if prefixes.exact and name.startswith("word"):
+                assert fit == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_unbroken_texts_fit_in_part():
+    index = TokenIndex(tokenizer_path("word_bpe_49k.json"))
+    for text in ("abcdefghij" * 2000, "日本語" * 3000, "x" * 20_000):
+        fit = index.counted(text).fit(2048)
+        assert 0 < fit and 2000 < index.count(text[:fit]) <= 2048
+
+
+def test_small_caches_give_the_same(monkeypatch):
+    from catalith.llm import token_counts
+
+    path, texts = tokenizer_path("word_bpe_49k.json"), [f"some words w{i} and x{i} again" for i in range(50)]
+    want = [TokenIndex(path).count(t) for t in texts]
+    monkeypatch.setattr(token_counts, "CACHED_BYTES", 1000)
+    index = TokenIndex(path)
+    assert [index.count(t) for t in texts] == want and len(index.counts) < 20
 
 
 def test_codec(docs):
