@@ -1,8 +1,8 @@
 """Operator 4: BPE encoding and decoding over a distinct-word table.
 
 Documents are read in blocks.  A block's distinct words go, packed by a hash of
-the word, to the encoders; each distinct word of the corpus meets one encoder and
-is encoded once there.  The ids come back to the block and are put in place by
+the word, to the encoders; each distinct word of some hundred partitions meets one
+encoder and is encoded once there, so there are as many encoders as the input needs.  The ids come back to the block and are put in place by
 position.  Only distinct words of a block and the packed word positions move, so
 what is shuffled stays below the input, whatever the word frequencies: a word
 that every document holds counts once a block.
@@ -32,12 +32,12 @@ from catalith.llm.common import bound_batches, map_batches, tidy
 BLOCK_CHARS = 12_000_000
 #: Documents and word positions that are packed together, at most; a longer document stands alone.
 CHUNK_DOCS, CHUNK_WORDS = 256, 60_000
-#: Packets into which a block's distinct words are dealt.
-PACKETS = 256
+#: Packets into which a block's distinct words are dealt, and partitions whose packets go together.
+PACKETS, TOGETHER = 256, 512
 #: Distinct words that one encoder keeps; beyond it the table starts anew.
 KEPT_WORDS = 1_000_000
 
-DICT = "packet int, block string, digest string, places binary, words binary"
+DICT = "packet int, together int, block string, digest string, places binary, words binary"
 IDS = "block string, digest string, places binary, ids binary"
 SEQ = "block string, digest string, doc_ids array<long>, sizes binary, places binary"
 OUT = "doc_id long, n_tokens long, ids binary, text binary"
@@ -76,6 +76,22 @@ class Numbered(dict):
         return n
 
 
+def word_lists(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[str, list]]:
+    """(name, words) of block after block; words in order of their first place, as ``blocks`` numbers them."""
+    splitter, part, run = Splitter(path), TaskContext.get().partitionId(), 0
+    seen, some, chars = {}, False, 0
+    for batch in batches:
+        for text in batch.column(1).to_pylist():
+            text, some = text or "", True
+            seen.update(dict.fromkeys(splitter.pieces(text)))
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield f"{part}-{run}", list(seen)
+                seen, some, chars, run = {}, False, 0, run + 1
+    if some:
+        yield f"{part}-{run}", list(seen)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[str, list[int], list[np.ndarray], list]]:
     """(name, document ids, word numbers of each, words) of block after block."""
     splitter, part, run = Splitter(path), TaskContext.get().partitionId(), 0
@@ -108,7 +124,7 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-DICT_ARROW = pa.schema([("packet", pa.int32()), ("block", pa.string()), ("digest", pa.string()), ("places", pa.binary()), ("words", pa.binary())])
+DICT_ARROW = pa.schema([("packet", pa.int32()), ("together", pa.int32()), ("block", pa.string()), ("digest", pa.string()), ("places", pa.binary()), ("words", pa.binary())])
 IDS_ARROW = pa.schema([("block", pa.string()), ("digest", pa.string()), ("places", pa.binary()), ("ids", pa.binary())])
 SEQ_ARROW = pa.schema([("block", pa.string()), ("digest", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary())])
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("text", pa.binary())])
@@ -119,7 +135,8 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """The distinct words of each block, dealt into packets by a hash of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, words in blocks(batches, path):
+        together = TaskContext.get().partitionId() // TOGETHER
+        for block, words in word_lists(batches, path):
             raw = [as_bytes(w) for w in words]
             digest = digest_of(raw)
             packet = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % PACKETS
@@ -129,7 +146,7 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
             for k in range(PACKETS):
                 own = order[bounds[k] : bounds[k + 1]]
                 if len(own):
-                    rows.append((k, block, digest, pack(own), pack_words([raw[i] for i in own.tolist()])))
+                    rows.append((k, together, block, digest, pack(own), pack_words([raw[i] for i in own.tolist()])))
             yield batch_of(rows, DICT_ARROW)
 
     return map_batches(docs, run, DICT)
@@ -162,7 +179,7 @@ def encode_words(packets: DataFrame, path: str) -> DataFrame:
         known: dict[bytes, bytes] = {}
         for batch in batches:
             rows = []
-            for block, digest, places, words in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for block, digest, places, words in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 words = unpack_words(words)
                 new = [w for w in words if w not in known]
                 if new:
@@ -275,5 +292,5 @@ def bpe_round_trip(docs: DataFrame, path: str, digests: bool = True) -> DataFram
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packets = distinct_words(docs, path).repartition("packet")
+    packets = distinct_words(docs, path).repartition("packet", "together")
     return place_ids(encode_words(packets, path), word_positions(docs, path), path, digests)

@@ -118,6 +118,7 @@ def test_small_blocks_give_the_same(spark, docs, monkeypatch):
     want = sorted(map(tuple, bpe_round_trip(docs, tokenizer_path("byte_bpe_50k.json")).collect()))
     monkeypatch.setattr(bpe_codec, "BLOCK_CHARS", 20_000)
     monkeypatch.setattr(bpe_codec, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(bpe_codec, "TOGETHER", 1)
     for f in (bpe_codec.blocks, bpe_codec.word_positions):
         assert f.__module__ == "catalith.llm.bpe_codec"
     assert sorted(map(tuple, bpe_round_trip(docs, tokenizer_path("byte_bpe_50k.json")).collect())) == want
