@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalith.functions import text
+
 
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence."""
@@ -57,16 +59,36 @@ def token_ratio(a: Column, b: Column) -> Column:
     return ratio(ordered(a), ordered(b))
 
 
+def _within(short: Column, long: Column) -> Column:
+    size = F.length(short)
+    stretches = F.transform(F.sequence(F.lit(1), F.length(long) - size + 1), lambda i: F.substring(long, i, size))
+    ends = F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(long, F.lit(1), n))
+    ends = F.concat(ends, F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(long, F.length(long) - n + 1, n)))
+    return F.array_max(F.transform(F.array_distinct(F.concat(stretches, ends)), lambda x: ratio(short, x)))
+
+
 def partial_ratio(a: Column, b: Column) -> Column:
-    """Best ratio of the shorter string with a stretch of its length in the longer one."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    starts = F.sequence(F.lit(1), F.length(long) - F.length(short) + 1)
-    return F.when(F.length(short) == 0, F.when(F.length(long) == 0, 100.0).otherwise(0.0)).otherwise(F.array_max(F.transform(starts, lambda i: ratio(short, F.substring(long, i, F.length(short))))))
+    """Best ratio of the shorter string with a stretch of the longer one; of equally long ones either way.
+
+    A stretch has the shorter string's length, or lies at an end of the longer one and
+    is shorter than that.
+    """
+    n, m = F.length(a), F.length(b)
+    found = F.when(n < m, _within(a, b)).when(n > m, _within(b, a)).otherwise(F.greatest(_within(a, b), _within(b, a)))
+    return F.when(a == b, 100.0).when((n == 0) | (m == 0), 0.0).otherwise(found)
 
 
 def best_ratio(a: Column, b: Column) -> Column:
+    """The best of the three scores of strings that are normalised already."""
     return F.greatest(ratio(a, b), token_ratio(a, b), partial_ratio(a, b))
 
 
+def best_of(a: Column, b: Column) -> Column:
+    """The best of the three scores of two strings as they are written."""
+    return text.let(F.struct(text.fuzzy_key(a).alias("a"), text.fuzzy_key(b).alias("b")), lambda k: best_ratio(k["a"], k["b"]))
+
+
 def is_match(a: Column, b: Column, threshold: float = 85) -> Column:
-    return F.when((a == "") | (b == ""), a == b).otherwise(best_ratio(a, b) >= threshold)
+    """Whether two strings as they are written are alike; one that normalises to nothing matches only its like."""
+    keys = F.struct(text.fuzzy_key(a).alias("a"), text.fuzzy_key(b).alias("b"))
+    return text.let(keys, lambda k: F.when((k["a"] == "") | (k["b"] == ""), k["a"] == k["b"]).otherwise(best_ratio(k["a"], k["b"]) >= threshold))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalith.functions import patterns as P
 from catalith.functions import vocabulary as V
 
 _ARTICLES = "|".join(a.lower() for a in V.ARTICLES)
@@ -70,9 +71,7 @@ def canon_key(x: Column) -> Column:
 
 def without_qualifiers(title: Column) -> Column:
     """Version brackets, year and number brackets and bare version words become spaces."""
-    words = "|".join(sorted(V.VERSION_WORDS, key=len, reverse=True))
-    steps = (V.VERSION_BRACKET.format(words=words), V.YEAR_BRACKET, V.NUMBER_BRACKET, rf"(?i)\b(?:{words})\b")
-    return reduce(lambda x, p: F.regexp_replace(x, p, " "), steps, title)
+    return reduce(lambda x, p: F.regexp_replace(x, p, " "), P.QUALIFIERS, title)
 
 
 def near_key(x: Column, title: bool = False) -> Column:
@@ -96,7 +95,7 @@ _MARKED = _marked()
 
 
 def live(title: Column) -> Column:
-    return title.rlike(V.LIVE_MARKER)
+    return title.rlike(P.LIVE_MARKER)
 
 
 def pair_id(a: Column, b: Column) -> Column:
@@ -162,10 +161,22 @@ def all_caps(x: Column) -> Column:
 _EDGE = r"\"'()\[\]{}.,!?;:-"
 
 
+def special_spellings(x: Column) -> Column:
+    """Rock 'n' Roll, R&B and feat. have one spelling, whatever joins their letters."""
+    joined = r"\s*['`]?\s*"
+    x = F.regexp_replace(x, joined.join((r"\b([Rr])ock", "[Nn]", r"[Rr]oll\b")), "$1ock 'n' Roll")
+    x = F.regexp_replace(x, r"(?i)\br\s*[&'`]\s*b\b", "R&B")
+    return F.regexp_replace(x, r"(?i)\bf(?:ea)?t\b\.?", "feat.")
+
+
+def is_dotted(word: Column) -> Column:
+    """Two letters or more, each followed by a dot, and nothing else."""
+    return (F.length(word) >= 4) & (F.regexp_replace(word, r"[A-Za-z]\.", "") == "")
+
+
 def title_case(x: Column) -> Column:
     """Title case that keeps acronyms, dotted abbreviations and Roman numerals."""
-    special = reduce(lambda acc, rule: F.regexp_replace(acc, *rule), V.SPECIAL_SPELLINGS, x)
-    return F.when(stripped(x) == "", x).otherwise(let(F.split(stripped(special), r"\s+"), _cased_words))
+    return F.when(stripped(x) == "", x).otherwise(let(F.split(stripped(special_spellings(x)), r"\s+"), _cased_words))
 
 
 def _cased_words(words: Column) -> Column:
@@ -175,9 +186,9 @@ def _cased_words(words: Column) -> Column:
         word, clean = part["word"], part["clean"]
         upper = F.upper(clean)
         kept = F.when(clean == "", word).otherwise(F.replace(word, clean, upper))
-        roman = (clean != "") & all_caps(clean) & ~is_in(upper, V.ROMAN_FALSE_FRIENDS) & upper.rlike(V.ROMAN_NUMERAL)
+        roman = (clean != "") & all_caps(clean) & ~is_in(upper, V.ROMAN_FALSE_FRIENDS) & upper.rlike(P.ROMAN_NUMERAL)
         return (
-            F.when(word.rlike(V.DOTTED_ABBREVIATION), F.upper(word))
+            F.when(is_dotted(word), F.upper(word))
             .when(is_in(upper, V.KEEP_CAPS) | roman, kept)
             .when((i == 0) | (i == F.size(words) - 1), capitalised(word))
             .when(is_in(F.lower(clean), V.LOWERCASE_WORDS), F.lower(word))
@@ -216,19 +227,19 @@ def sanitised(x: Column) -> Column:
 
 
 def needs_sanitising(x: Column) -> Column:
-    return F.coalesce(x.rlike(V.UNSAFE_CHARACTERS) | x.rlike(f"[{V.TYPOGRAPHIC}]") | x.rlike(r"[. ]$"), F.lit(False))
+    return F.coalesce(x.rlike(P.UNSAFE_IN_VALUES) | x.rlike(f"[{V.TYPOGRAPHIC}]") | x.rlike(r"[. ]$"), F.lit(False))
 
 
 def path_component(x: Column) -> Column:
     """One component of a path, safe on every file system; ``Unknown`` if nothing is left."""
     s = plain_typography(F.translate(F.coalesce(x, F.lit("")), "`", "'"))
-    s = F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), V.PATH_FORBIDDEN, "_")
+    s = F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), P.FORBIDDEN_IN_NAMES, "_")
     s = F.regexp_replace(squeezed(s), r"^[. ]+|[. ]+$", "")
     return let(s, lambda v: F.when(v == "", "Unknown").when(is_in(F.upper(F.split_part(v, F.lit("."), F.lit(1))), V.RESERVED_NAMES), F.concat(F.lit("_"), v)).otherwise(v))
 
 
 def folder_name(x: Column, limit: int = 120, default: str = "_unknown_") -> Column:
-    s = F.regexp_replace(stripped(F.regexp_replace(x, V.PATH_FORBIDDEN, "_")), r"^\.+|\.+$", "")
+    s = F.regexp_replace(stripped(F.regexp_replace(x, P.FORBIDDEN_IN_NAMES, "_")), r"^\.+|\.+$", "")
     s = F.substring(s, 1, limit)
     return F.when(F.coalesce(s, F.lit("")) == "", default).otherwise(s)
 
@@ -237,7 +248,7 @@ def without_track_number(x: Column) -> Column:
     """The first prefix that goes and leaves something, else the text itself."""
 
     def shortest(s: Column) -> Column:
-        tries = F.array(*[stripped(F.regexp_replace(s, p, "")) for p in V.TRACK_PREFIXES])
+        tries = F.array(*[stripped(F.regexp_replace(s, p, "")) for p in P.TRACK_PREFIXES])
         return F.coalesce(F.get(F.filter(tries, lambda t: (t != "") & (t != s)), F.lit(0)), s)
 
     return let(stripped(x), shortest)
@@ -287,7 +298,7 @@ def _unless_protected(x: Column, then: Column, names) -> Column:
 def without_guests(x: Column) -> Column:
     """Guest credits and comma tails go, ``and`` becomes ``&``; protected names stay."""
     steps = (
-        lambda s: stripped(F.regexp_replace(s, V.GUEST_CREDIT, "")),
+        lambda s: stripped(F.regexp_replace(s, P.GUEST_CREDIT, "")),
         lambda s: F.when(s.contains("&"), s).otherwise(_before_comma(s)),
         lambda s: F.regexp_replace(s, r"(?i)\band\b", "&"),
     )
@@ -304,18 +315,18 @@ def _through(x: Column, steps, names) -> Column:
 def consolidation_key(x: Column) -> Column:
     """One key for all spellings of an artist; ASCII letters and digits only."""
     s = F.replace(F.replace(without_guests(x), F.lit("°"), F.lit("")), F.lit("&"), F.lit(" and "))
-    for article in (V.LEADING_THE, V.TRAILING_THE, V.BRACKETED_THE):
+    for article in (P.LEADING_THE, P.TRAILING_THE, P.BRACKETED_THE):
         s = F.regexp_replace(s, article, "")
     return squeezed(F.regexp_replace(F.lower(s), r"[^a-z0-9\s]", " "))
 
 
 def has_article(x: Column) -> Column:
-    return x.rlike(V.LEADING_THE) | x.rlike(V.TRAILING_THE) | x.rlike(V.BRACKETED_THE)
+    return x.rlike(P.LEADING_THE) | x.rlike(P.TRAILING_THE) | x.rlike(P.BRACKETED_THE)
 
 
 def display_title(x: Column) -> Column:
     """Title case for display: short acronyms stay, connecting words are lower, ``, The`` stays."""
-    tail = V.TRAILING_THE
+    tail = P.TRAILING_THE
     words = F.split(stripped(F.regexp_replace(x, tail, "")), r"\s+")
 
     def one(w: Column) -> Column:
@@ -328,7 +339,7 @@ def primary_artist(x: Column) -> Column:
     """The first credited artist, for folder names."""
     raw = stripped(F.when(F.coalesce(x, F.lit("")) == "", "Unknown Artist").otherwise(x))
     steps = [
-        lambda s: stripped(F.regexp_replace(s, V.FEATURE_CREDIT, "")),
+        lambda s: stripped(F.regexp_replace(s, P.FEATURE_CREDIT, "")),
         lambda s: stripped(F.split_part(s, F.lit(";"), F.lit(1))),
         lambda s: stripped(F.split_part(s, F.lit(" & "), F.lit(1))),
         lambda s: F.coalesce(F.element_at(_dash_parts(s), 1), s),
@@ -349,7 +360,7 @@ def is_various(x: Column) -> Column:
 
 def bracket_artist(path: Column) -> Column:
     """Artist in the first square bracket of the file name, before a label; empty if none."""
-    content = F.regexp_extract(stem(path), V.SQUARE_BRACKET, 1)
+    content = F.regexp_extract(stem(path), r"\[([^\]]+)\]", 1)
     first = stripped(F.split_part(content, F.lit("-"), F.lit(1)))
     return F.when(content.contains("-") & (F.length(first) > 3), first).otherwise(stripped(content))
 

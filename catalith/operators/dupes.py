@@ -57,16 +57,29 @@ def claimed_once(losers: DataFrame) -> DataFrame:
 
 
 def with_collision_suffix(df: DataFrame, target: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """Numbered targets where several rows, or files there already, want the same."""
-    rows = df
-    if taken is not None:
-        there = taken.groupBy(F.col("path").alias(target)).agg(F.count("*").alias("_taken"))
-        rows = rows.join(there, target, "left")
-    else:
-        rows = rows.withColumn("_taken", F.lit(0))
-    place = F.row_number().over(Window.partitionBy(target).orderBy(order)) + F.coalesce("_taken", F.lit(0))
-    stem, ext = F.regexp_replace(F.col(target), r"\.[^./]*$", ""), F.regexp_extract(F.col(target), r"(\.[^./]*)$", 1)
-    return rows.withColumn("final_path", F.when(place == 1, F.col(target)).otherwise(F.concat(stem, F.lit(" ("), place.cast("string"), F.lit(")"), ext))).drop("_taken")
+    """Targets of which no two are the same, nor one of ``taken`` (column path).
+
+    The first row in ``order`` of a target keeps it if it is free.  The others get the
+    numbers from 2 on that are free, in order: numbers that a target or a taken path
+    already spells out, as in ``name (2).ext``, are left out.  A wanted target that
+    spells a number out is kept where it is free, so it comes before numbering.
+    """
+    stem, ext = F.regexp_replace(F.col("want"), r"\.[^./]*$", ""), F.regexp_extract("want", r"(\.[^./]*)$", 1)
+    number = F.regexp_extract("stem", r" \(([1-9][0-9]{0,8})\)$", 1)
+    there = (taken.select(F.col("path").alias("want")) if taken is not None else df.select(F.col(target).alias("want")).limit(0)).distinct()
+    spelt = df.select(F.col(target).alias("want")).unionByName(there).distinct().withColumns({"stem": stem, "ext": ext}).withColumn("n", number)
+    spelt = spelt.where("n != '' and cast(n as int) >= 2").groupBy(F.regexp_replace("stem", r" \([0-9]+\)$", "").alias("of_stem"), F.col("ext").alias("of_ext"))
+    spelt = spelt.agg(F.sort_array(F.collect_set(F.col("n").cast("int"))).alias("used"))
+
+    rows = df.select(F.struct("*").alias("row"), F.col(target).alias("want"), F.col(order).alias("o"))
+    rows = rows.join(there.withColumn("there", F.lit(1)), "want", "left").withColumns({"stem": stem, "ext": ext})
+    place = F.row_number().over(Window.partitionBy("want").orderBy("o"))
+    rows = rows.withColumn("rank", place - F.when(F.col("there").isNull(), 1).otherwise(0)).join(spelt, (F.col("stem") == F.col("of_stem")) & (F.col("ext") == F.col("of_ext")), "left")
+
+    # the rank-th number from 2 on that isn't used: each used one at or below it moves it up
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("rank") + 1, lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    name = F.when(F.col("rank") == 0, F.col("want")).otherwise(F.concat("stem", F.lit(" ("), free.cast("string"), F.lit(")"), "ext"))
+    return rows.select("row.*", (F.col("rank") + 1).alias("place"), name.alias("final_path")).drop("place")
 
 
 def cross_batch(df: DataFrame, ledger: DataFrame, live: DataFrame) -> DataFrame:

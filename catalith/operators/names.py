@@ -25,6 +25,21 @@ def best_candidate(queries: DataFrame, candidates: DataFrame, threshold: float,
     return best.select("q", F.col("b.c").alias("c"), (-F.col("b.s")).alias("score"))
 
 
+def best_match(queries: DataFrame, candidates: DataFrame, threshold: float = V.FUZZY_DEFAULT, most: int = 100_000) -> DataFrame:
+    """(q, c, score): the candidate with the best of the three scores, normalised first; ties to the smaller one.
+
+    A short string may lie anywhere in a long one, so lengths rule nothing out: each
+    distinct query meets each distinct candidate.  Candidates are a dictionary, of
+    ``most`` entries at most, which is checked.
+    """
+    c = candidates.select("c").distinct()
+    if c.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidates")
+    scored = queries.select("q").distinct().join(F.broadcast(c)).withColumn("score", similarity.best_of(F.col("q"), F.col("c")))
+    best = scored.where(F.col("score") >= threshold).groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "c")).alias("b"))
+    return best.select("q", F.col("b.c").alias("c"), (-F.col("b.s")).alias("score"))
+
+
 def canon_artists(df: DataFrame, canon: DataFrame, column: str = "artist", threshold: float = V.ARTIST_CANON) -> DataFrame:
     """Distinct names with their canonical form: by the dictionary, else by likeness, else unchanged."""
     names = df.where(F.coalesce(column, F.lit("")) != "").select(F.col(column).alias("raw")).distinct().withColumn("key", text.canon_key(F.col("raw")))

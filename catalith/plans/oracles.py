@@ -253,9 +253,14 @@ g AS (SELECT file_path, 'dup_' || audio_hash[1:12] AS group_id, 0 AS source_rank
 r AS (SELECT *, row_number() OVER (PARTITION BY source_rank, group_id ORDER BY {_ORDER}) AS place FROM g),
 l AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY source_rank, group_id) AS claim FROM r WHERE place > 1)
 SELECT file_path, group_id, source_rank FROM l WHERE claim = 1""")
-on_archive("collision_suffix", r"""t AS (SELECT id, translate('/out/' || coalesce(title, 'x') || ext, '?"', '__') AS target FROM archive),
-n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS place FROM t)
-SELECT id, CASE WHEN place = 1 THEN target ELSE regexp_replace(target, '\.[^./]*$', '') || ' (' || place || ')' || regexp_extract(target, '(\.[^./]*)$', 1) END AS final_path FROM n""")
+on_archive("collision_suffix", r"""t AS (SELECT id, '/out/track ' || id % 40 || CASE WHEN id % 7 = 0 THEN ' (2)' WHEN id % 11 = 0 THEN ' (4)' ELSE '' END || CASE WHEN id % 40 < 35 THEN ext ELSE '' END AS target FROM archive),
+k AS (SELECT DISTINCT regexp_replace(target, 'track ([0-9])( |[.]|$)', 'track \1 (3)\2') AS path FROM t WHERE id % 13 = 0),
+spelt AS (SELECT target AS path FROM t UNION SELECT path FROM k),
+r AS (SELECT id, target, row_number() OVER (PARTITION BY target ORDER BY id) - CASE WHEN target IN (SELECT path FROM k) THEN 0 ELSE 1 END AS rank FROM t),
+m AS (SELECT target, max(rank) AS most FROM r GROUP BY target),
+c AS (SELECT target, n, regexp_replace(target, '[.][^./]*$', '') || ' (' || n || ')' || regexp_extract(target, '([.][^./]*)$', 1) AS path FROM (SELECT target, unnest(range(2, most + 10)) AS n FROM m)),
+f AS (SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY n) AS rank FROM c WHERE path NOT IN (SELECT path FROM spelt))
+SELECT id, CASE WHEN r.rank = 0 THEN target ELSE f.path END AS final_path FROM r LEFT JOIN f USING (target, rank)""")
 on_archive("cross_batch_flag", """h AS (SELECT * FROM archive WHERE audio_hash IS NOT NULL), l AS (SELECT audio_hash, '/old' || file_path AS twin FROM h WHERE id % 3 = 0 AND id % 2 = 0)
 SELECT file_path, min(twin) AS twin, 'crossdupe_' || audio_hash[1:12] AS group_id FROM h JOIN l USING (audio_hash) WHERE file_path <> twin GROUP BY file_path, audio_hash""")
 SQL["dedupe_report"] = "SELECT 'g' || o_custkey AS group_id, max(o_orderpriority) AS duplicate_type, count(*) FILTER (o_orderstatus = 'F') AS keep_count, count(*) FILTER (o_orderstatus = 'O') AS archive_count, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS pending_count FROM orders GROUP BY o_custkey"
@@ -363,7 +368,8 @@ _SHORT, _LONG = "(CASE WHEN length(x) <= length(y) THEN x ELSE y END)", "(CASE W
 SQL["leader_clusters"] = f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS block FROM part),
 o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY name) AS i FROM n),
 p AS (SELECT a.block, a.i, b.i AS j, a.name AS x, b.name AS y FROM o a JOIN o b ON a.block = b.block AND b.i < a.i),
-t AS (SELECT *, {_SORTED.format('x')} AS tx, {_SORTED.format('y')} AS ty, unnest(list_transform(range(1, abs(length(x) - length(y)) + 2), lambda s: {_LONG}[s:s + length({_SHORT}) - 1])) AS w, {_SHORT} AS short FROM p),
+p2 AS (FROM p UNION ALL SELECT block, i, j, y, x FROM p WHERE length(x) = length(y)),
+t AS (SELECT *, {_SORTED.format('x')} AS tx, {_SORTED.format('y')} AS ty, unnest(list_concat(list_transform(range(1, abs(length(x) - length(y)) + 2), lambda s: {_LONG}[s:s + length({_SHORT}) - 1]), list_transform(range(1, length({_SHORT}) + 1), lambda s: {_LONG}[1:s]), list_transform(range(1, length({_SHORT}) + 1), lambda s: {_LONG}[length({_LONG}) - s + 1:]))) AS w, {_SHORT} AS short FROM p2),
 m AS (SELECT block, i, j FROM t GROUP BY ALL HAVING max(greatest({ratio('x', 'y')}, {ratio('tx', 'ty')}, {ratio('short', 'w')})) >= 70),
 g AS (SELECT block, 1::BIGINT AS i, [1::BIGINT] AS leaders, 1::BIGINT AS leader FROM o WHERE i = 1
   UNION ALL SELECT block, i, CASE WHEN hit IS NULL THEN list_append(leaders, i) ELSE leaders END, coalesce(hit, i) FROM (

@@ -58,6 +58,27 @@ def test_collision_suffix_counts_what_is_there(spark):
     assert pairs(dupes.with_collision_suffix(df, "t", "id", taken), "id", "final_path") == [(1, "/o/a (2).m4a"), (2, "/o/a (3).m4a"), (3, "/o/b")]
 
 
+def test_collision_suffix_never_gives_two_rows_one_path(spark):
+    cases = [
+        (["/o/a", "/o/a", "/o/a (2)"], [], ["/o/a", "/o/a (3)", "/o/a (2)"]),
+        (["/o/a"], ["/o/a", "/o/a (2)"], ["/o/a (3)"]),
+        (["/o/a (2).x", "/o/a (2).x", "/o/a.x"], ["/o/a.x", "/o/a (4).x"], ["/o/a (2).x", "/o/a (2) (2).x", "/o/a (3).x"]),
+        (["/o/b.c/d", "/o/b.c/d"], [], ["/o/b.c/d", "/o/b.c/d (2)"]),
+    ]
+    for targets, there, want in cases:
+        df = spark.createDataFrame(list(enumerate(targets)), "id int, t string").withColumn("want", F.lit(1)).withColumn("rank", F.lit(2))
+        out = dupes.with_collision_suffix(df, "t", "id", spark.createDataFrame([(p,) for p in there], "path string"))
+        assert [p for _, p in pairs(out, "id", "final_path")] == want
+        assert len({*want, *there}) == len(want) + len(set(there))
+
+
+def test_best_match_normalises_and_takes_the_best_score(spark):
+    q = spark.createDataFrame([("The Beatles!",), ("floyd",), ("animals pink floyd",), ("zzzz",), ("BJÖRK",)], "q string")
+    c = spark.createDataFrame([("beatles",), ("Pink Floyd Animals",), ("Bjork",)], "c string")
+    got = {r.q: (r.c, r.score) for r in names.best_match(q, c).collect()}
+    assert got == {"The Beatles!": ("beatles", 100.0), "floyd": ("Pink Floyd Animals", 100.0), "animals pink floyd": ("Pink Floyd Animals", 100.0), "BJÖRK": ("Bjork", 100.0)}
+
+
 def test_canon(spark):
     canon = spark.createDataFrame([("the beatles", "The Beatles"), ("x", "")], "raw string, canonical string")
     df = spark.createDataFrame([("  the   beatles  ",), ("the betales",), ("x",), ("other",), (None,), ("",)], "artist string")
