@@ -254,7 +254,9 @@ def added_spans(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame
     holders = lambda part, terms, n: part.select(*KEY, F.explode("terms").alias("term")).join(small(terms.select("term"), n), "term", "left_semi").select(*KEY)
     hits = holders(rows.where(F.size("base") > 0), reveal, n).unionByName(holders(rows.where(F.size("base") == 0), other, other.count()))
     hits = written(hits.distinct(), "pii-hits")
-    texts = keyed(docs).join(small(hits, hits.count()), KEY, "left_semi").dropDuplicates(KEY)
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # texts cost time, whatever their bytes
+    texts = keyed(docs).join(small(hits, hits.count()), KEY, "left_semi").repartition(parts, *KEY).dropDuplicates(KEY)
     words = texts.withColumn("base", base_spans(F.col("text"))).select(*KEY, located(blanked(F.col("text"), F.col("base")), how.words, lambda w: w.isNotNull()).alias("words"))
     words = words.select(*KEY, F.explode("words").alias("w")).select(*KEY, "w.start", "w.end", F.lower("w.value").alias("term"))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.lit("").alias("value"))
