@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import audio, probe, similarity, text
-from catalith.operators import dml, dupes, health, lineage, lookups, names, reports
+from catalith.operators import dml, dupes, health, lineage, lookups, names, reports, upkeep
 from catalith.plans.archive import archive
 from catalith.sources import files
 from catalith.streaming import windows
@@ -556,6 +556,100 @@ def session_counts(spark, sf_dir):
     return windows.sessions(read(spark, sf_dir, "events"), "user_id", "30 minutes")
 
 
+# -- work on the files --------------------------------------------------------
+
+
+@query
+def organise_plan(spark, sf_dir):
+    rows = archive(spark, sf_dir).where("status = 'CATALOGUED' and id % 3 = 0")
+    place = F.concat(F.lit("/library/"), text.path_component(F.col("artist")), F.lit("/x/"), F.col("id").cast("string"))
+    rows = rows.select("id", "artist", "title", "ext", F.lit("x").alias("album"), F.when(F.col("id") % 2 == 0, place).otherwise(F.col("file_path")).alias("file_path"))
+    return upkeep.organised(rows).select(F.col("file_path"), "verdict", F.regexp_replace("target", "/[^/]*$", "").alias("folder"), F.length("target").alias("n"))
+
+
+@query
+def tag_diff(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    odd = lambda c, m: F.when(F.col("id") % m == 0, F.lit(None).cast("string")).otherwise(F.col(c).cast("string")).alias(c)
+    tags = a.select("file_path", F.concat("artist", F.lit(" ")).alias("artist"), odd("album", 3), odd("title", 4), odd("genre", 5), odd("year", 6), odd("track", 7), F.when(F.col("id") % 2 == 0, "The Chieftains").alias("albumartist"))
+    return upkeep.tag_changes(a.withColumn("artist", F.when(F.col("id") % 8 == 0, "Chieftains, The").otherwise(F.col("artist"))), tags)
+
+
+@query
+def loudness_pending(spark, sf_dir):
+    return upkeep.to_measure(archive(spark, sf_dir), "finalized_at").select("id", "file_path")
+
+
+@query
+def loudness_embeds(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return upkeep.to_embed(a, "finalized_at", a.where("id % 3 = 0")).select("id", "file_path")
+
+
+@query
+def wrong_modes(spark, sf_dir):
+    listing = archive(spark, sf_dir).select(F.col("file_path").alias("path"), F.when(F.col("id") % 4 == 0, "dir").when(F.col("id") % 9 == 0, "link").otherwise("file").alias("kind"), F.when(F.col("id") % 3 == 0, 0o775).when(F.col("id") % 5 == 0, None).otherwise(0o664).alias("mode"))
+    return upkeep.wrong_modes(listing)
+
+
+@query
+def analysis_state(spark, sf_dir):
+    return upkeep.analysis_state(archive(spark, sf_dir).withColumn("tempo", (F.col("id") % 260).cast("double")), "finalized_at")
+
+
+@query
+def sidecar_covers(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    name = F.element_at(F.array(*[F.lit(n) for n in ("front.png", "notes.txt", "cover.png", "AlbumArtSmall.jpg", "folder.jpg")]), (F.col("id") % 5 + 1).cast("int"))
+    listing = a.where("id % 7 = 0").select(F.concat(F.regexp_replace("file_path", "/[^/]*$", "/"), name).alias("path"))
+    return upkeep.sidecars(a.select("file_path"), listing)
+
+
+@query
+def transcode_plan(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return upkeep.transcodes(a, a.where("id % 5 <> 3").select(F.col("file_path").alias("path")))
+
+
+@query
+def release_lookups(spark, sf_dir):
+    a = archive(spark, sf_dir).withColumn("mb_artist_id", F.when(F.col("id") % 6 == 0, "known"))
+    artists = a.where("id % 4 = 0").select(F.upper("artist").alias("artist"), F.concat(F.lit("a"), F.length("artist").cast("string")).alias("mb_artist_id"))
+    releases = a.where("id % 5 = 0").select("artist", "album", F.concat(F.lit("r"), F.length("album").cast("string")).alias("mb_release_id"))
+    return upkeep.with_answers(a, artists, releases)
+
+
+@query
+def preflight_checks(spark, sf_dir):
+    return upkeep.preflight(archive(spark, sf_dir), F.lit(70))
+
+
+@query
+def integrity_flags(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    tries = a.where("id % 3 > 0").select("file_path", (F.col("id") % 4 == 1).alias("ok"), F.lit(1).alias("ts")).unionByName(a.where("id % 6 = 1").select("file_path", F.lit(True).alias("ok"), F.lit(2).alias("ts")))
+    return upkeep.integrity(a, tries)
+
+
+@query
+def rebuilt_rows(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    listing, hashes = a.select(F.col("file_path").alias("path"), "size_bytes"), a.where("id % 4 > 0").select(F.col("file_path").alias("path"), F.coalesce("audio_hash", F.lit("none")).alias("sha256"))
+    return upkeep.rebuilt(listing, hashes, a.where("id % 3 > 0").select("file_path", "title", "artist"), limit=500).select("file_path", "size_bytes", "audio_hash", "title", "artist", "status")
+
+
+@query
+def canon_review(spark, sf_dir):
+    counts = archive(spark, sf_dir).where("trim(artist) <> ''").groupBy(F.col("artist").alias("raw")).agg(F.count("*").alias("n"))
+    return upkeep.canon_review(counts.withColumn("source", F.when(F.length("raw") % 3 == 0, "exact").otherwise("none")))
+
+
+@query
+def ledger_readd(spark, sf_dir):
+    a = archive(spark, sf_dir)
+    return upkeep.readded(a.where("id % 2 = 0").select("audio_hash", "file_path"), a)
+
+
 def queries() -> dict:
     return dict(REGISTRY)
 

@@ -388,5 +388,47 @@ on_archive("restore_commands", r"""SELECT 'mv -n -- ''' || replace(file_path, ''
 SQL["looked_up"] = "WITH a AS (SELECT 'Brand#' || s_suppkey % 30 AS brand, min(s_name) AS answer FROM supplier WHERE s_suppkey % 10 >= 5 GROUP BY 1) SELECT p_partkey AS id, p_brand AS brand, answer FROM part LEFT JOIN a ON brand = p_brand"
 
 
+# -- work on the files --------------------------------------------------------
+
+_FOLDER = "regexp_replace({0}, '/[^/]*$', '')"
+on_archive("loudness_pending", "SELECT id, file_path FROM archive WHERE status = 'CATALOGUED' AND coalesce(finalized_at, '') = ''")
+on_archive("loudness_embeds", "SELECT id, file_path FROM archive WHERE status = 'CATALOGUED' AND finalized_at <> '' AND lufs IS NOT NULL AND id % 3 <> 0")
+on_archive("wrong_modes", """l AS (SELECT file_path AS path, CASE WHEN id % 4 = 0 THEN 'dir' WHEN id % 9 = 0 THEN 'link' ELSE 'file' END AS kind, CASE WHEN id % 3 = 0 THEN 509 WHEN id % 5 = 0 THEN NULL ELSE 436 END AS mode FROM archive)
+SELECT *, 509 AS wanted FROM l WHERE kind = 'dir' AND mode <> 509 UNION ALL SELECT *, 436 FROM l WHERE kind = 'file' AND mode <> 436""")
+on_archive("analysis_state", """s AS (SELECT file_path, id % 260 AS t, CASE WHEN finalized_at <> '' THEN 'done' WHEN channels > 2 THEN 'skipped_multichannel' ELSE 'pending' END AS state FROM archive WHERE status = 'CATALOGUED')
+SELECT file_path, state, CASE WHEN t = 0 OR state = 'skipped_multichannel' THEN NULL WHEN t > 200 THEN t / 2 WHEN t < 60 THEN t * 2.0::DOUBLE ELSE t::DOUBLE END AS bpm FROM s""")
+on_archive("sidecar_covers", f"""l AS (SELECT {_FOLDER.format('file_path')} AS folder, ['front.png', 'notes.txt', 'cover.png', 'AlbumArtSmall.jpg', 'folder.jpg'][id % 5 + 1] AS name FROM archive WHERE id % 7 = 0),
+b AS (SELECT folder, CASE min(CASE name WHEN 'cover.png' THEN 1 WHEN 'folder.jpg' THEN 2 WHEN 'front.png' THEN 3 ELSE 4 END) WHEN 1 THEN 'cover.png' WHEN 2 THEN 'folder.jpg' WHEN 3 THEN 'front.png' ELSE 'AlbumArtSmall.jpg' END AS name FROM l WHERE name <> 'notes.txt' GROUP BY folder)
+SELECT file_path, folder || '/' || name AS cover FROM archive JOIN b ON {_FOLDER.format('file_path')} = folder""")
+
+
+def _folder_name(x: str) -> str:
+    cut = strip("regexp_replace(" + x + r""", '[\\/:*?"<>|]', '_', 'g')""")
+    return rf"coalesce(nullif(regexp_replace({cut}, '^\.+|\.+$', '', 'g')[1:60], ''), '_unknown_')"
+
+
+on_archive("transcode_plan", f"""SELECT file_path, '/transcode/' || {_folder_name("coalesce(nullif(artist, ''), 'Unknown Artist')")} || '/' || {_folder_name("coalesce(nullif(album, ''), 'Unknown Album')")} || '/'
+  || CASE WHEN track IS NULL THEN '' WHEN track < 10 THEN '0' || track || ' - ' ELSE track || ' - ' END || {_folder_name("coalesce(nullif(title, ''), regexp_replace(regexp_extract(file_path, '[^/]*$'), '[.][^.]*$', ''))")} || '.m4a' AS target
+FROM archive WHERE status = 'CATALOGUED' AND codec IN ('flac', 'alac') AND id % 5 <> 3""")
+on_archive("release_lookups", """f AS (SELECT file_path, lower(trim(artist)) AS a, lower(trim(album)) AS b FROM archive WHERE status = 'CATALOGUED' AND trim(artist) <> '' AND id % 6 <> 0),
+x AS (SELECT lower(trim(upper(artist))) AS a, min('a' || length(artist)) AS mb_artist_id FROM archive WHERE id % 4 = 0 GROUP BY 1), y AS (SELECT lower(trim(artist)) AS a, lower(trim(album)) AS b, min('r' || length(album)) AS mb_release_id FROM archive WHERE id % 5 = 0 GROUP BY 1, 2)
+SELECT file_path, mb_artist_id, mb_release_id FROM f LEFT JOIN x USING (a) LEFT JOIN y USING (a, b) WHERE mb_artist_id IS NOT NULL OR mb_release_id IS NOT NULL""")
+on_archive("preflight_checks", """SELECT 'room' AS name, 'WARN' AS result, '70' AS detail UNION ALL SELECT 'missing_keys', 'OK', '0' UNION ALL
+SELECT 'repeated_keys', CASE WHEN n > 0 THEN 'FAIL' ELSE 'OK' END, n::VARCHAR FROM (SELECT count(file_path) - count(DISTINCT file_path) AS n FROM archive) UNION ALL
+SELECT 'states', CASE WHEN n > 0 THEN 'WARN' ELSE 'OK' END, n::VARCHAR FROM (SELECT count(*) FILTER (status IS NULL) AS n FROM archive)""")
+on_archive("integrity_flags", "SELECT file_path, id % 6 = 1 OR id % 4 = 1 AS integrity_ok FROM archive WHERE status = 'CATALOGUED' AND id % 3 > 0")
+on_archive("rebuilt_rows", """r AS (SELECT id, file_path, size_bytes, CASE WHEN id % 4 > 0 THEN coalesce(audio_hash, 'none') END AS audio_hash, CASE WHEN id % 3 > 0 THEN title END AS title, CASE WHEN id % 3 > 0 THEN artist END AS artist FROM archive ORDER BY file_path LIMIT 500)
+SELECT file_path, size_bytes, audio_hash, title, artist, CASE WHEN audio_hash IS NULL THEN 'PENDING' WHEN title IS NULL AND artist IS NULL THEN 'HASHED' ELSE 'CATALOGUED' END AS status FROM r""")
+on_archive("canon_review", "SELECT artist AS raw, count(*) AS files FROM archive WHERE trim(artist) <> '' AND length(artist) % 3 <> 0 GROUP BY artist")
+on_archive("ledger_readd", """l AS (SELECT *, row_number() OVER (PARTITION BY audio_hash ORDER BY size_bytes DESC, file_path) AS place FROM archive WHERE audio_hash IS NOT NULL AND finalized_at <> '' AND audio_hash NOT IN (SELECT audio_hash FROM archive WHERE id % 2 = 0 AND audio_hash IS NOT NULL))
+SELECT audio_hash, file_path FROM l WHERE place = 1""")
+on_archive("tag_diff", """a AS (SELECT * REPLACE (CASE WHEN id % 8 = 0 THEN 'Chieftains, The' ELSE artist END AS artist), artist AS tag_artist FROM archive),
+c AS (SELECT file_path, 'artist' AS field, tag_artist AS o, artist AS n FROM a UNION ALL SELECT file_path, 'album', CASE WHEN id % 3 <> 0 THEN album END, album FROM a UNION ALL
+  SELECT file_path, 'title', CASE WHEN id % 4 <> 0 THEN title END, title FROM a UNION ALL SELECT file_path, 'genre', CASE WHEN id % 5 <> 0 THEN genre END, genre FROM a UNION ALL
+  SELECT file_path, 'year', CASE WHEN id % 6 <> 0 THEN year END, year FROM a UNION ALL SELECT file_path, 'track', CASE WHEN id % 7 <> 0 THEN track::VARCHAR END, track::VARCHAR FROM a UNION ALL
+  SELECT file_path, 'albumartist', 'The Chieftains', 'Chieftains, The' FROM a WHERE id % 2 = 0 AND trim(artist) = 'Chieftains, The')
+SELECT file_path, field, trim(coalesce(o, '')) AS old_value, trim(n) AS new_value FROM c WHERE trim(coalesce(n, '')) <> '' AND trim(coalesce(o, '')) <> trim(n)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

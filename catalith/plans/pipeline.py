@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions import probe, text
-from catalith.operators import dml, dupes, health, lineage, names, reports
+from catalith.operators import dml, dupes, health, lineage, names, reports, upkeep
 from catalith.sources import files
 
 Tables = dict[str, DataFrame]
@@ -67,14 +67,25 @@ def quarantine(tables: Tables) -> Output:
 
 
 def resolve_duplicates(tables: Tables) -> Output:
-    """Of each hash group of the working population the best stays, the others go to review."""
+    """Of each group the best file stays, the others go to review.
+
+    Groups are the hash groups of the working population and the pending groups that
+    other stages found (near, cross-batch, acoustic).  A lone member moves only where
+    its twin is in an earlier batch.  A file that several groups would move is moved once.
+    """
     before = tables["archive"]
-    live = before.where((F.col("status") == "CATALOGUED") & F.col("audio_hash").isNotNull())
-    verdicts = dupes.keepers_and_losers(live, "audio_hash").where("members > 1")
-    losers = verdicts.where("verdict = 'loser'").select(F.col("file_path").alias("_loser"))
+    live = before.where("status = 'CATALOGUED'")
+    exact = live.where("audio_hash is not null").withColumns({"group_id": text.group_id("dup_", F.col("audio_hash")), "duplicate_type": F.lit("EXACT"), "source_rank": F.lit(0)})
+    members = exact
+    if "duplicates" in tables and "group_id" in tables["duplicates"].columns:
+        pending = tables["duplicates"].where("status = 'pending' and group_id is not null and duplicate_type <> 'EXACT'")
+        pending = pending.select("file_path", "group_id", "duplicate_type").distinct().withColumn("source_rank", F.lit(1))
+        members = exact.unionByName(live.join(pending, "file_path").select(*exact.columns))
+    verdicts = dupes.keepers_and_losers(members, "group_id", F.col("duplicate_type") == "CROSS_BATCH").where("members > 1 or verdict = 'loser'")
+    losers = dupes.claimed_once(verdicts.where("verdict = 'loser'")).select(F.col("file_path").alias("_loser"))
     marked = before.join(losers, before["file_path"] == losers["_loser"], "left")
     after = marked.withColumn("status", F.when(F.col("_loser").isNotNull(), "DUPE_REVIEW").otherwise(F.col("status"))).drop("_loser")
-    groups = verdicts.select(text.group_id("dup_", F.col("audio_hash")).alias("group_id"), "file_path", F.lit("EXACT").alias("duplicate_type"), F.when(F.col("verdict") == "keeper", "keep").otherwise("archive").alias("status"))
+    groups = verdicts.select("group_id", "file_path", "duplicate_type", F.when(F.col("verdict") == "keeper", "keep").otherwise("archive").alias("status"))
     return Output({"archive": after}, {"duplicates": groups})
 
 
@@ -200,6 +211,74 @@ def review(tables: Tables) -> Output:
     return Output({}, {"review_issues": found})
 
 
+def needing(*names: str) -> Callable[[Stage], Stage]:
+    """A stage that does nothing where a table it works from isn't there, as an outside service may be away."""
+
+    def wrap(stage: Stage) -> Stage:
+        return lambda tables: stage(tables) if all(n in tables for n in names) else Output()
+
+    return wrap
+
+
+def preflight(tables: Tables) -> Output:
+    free = F.lit(tables["room"].first()["free_gb"]) if "room" in tables else F.lit(float("inf"))
+    return Output({}, {"preflight": upkeep.preflight(tables["archive"], free)})
+
+
+@needing("listing_modes")
+def permissions(tables: Tables) -> Output:
+    return Output({}, {"modes": upkeep.wrong_modes(tables["listing_modes"])})
+
+
+@needing("listing")
+def album_art(tables: Tables) -> Output:
+    return Output({}, {"covers": upkeep.sidecars(tables["archive"].where(upkeep.LIVE), tables["listing"])})
+
+
+@needing("tempos")
+def tempo(tables: Tables) -> Output:
+    """Measured tempos, and files with more than two channels marked as done for good."""
+    rows = tables["archive"].join(tables["tempos"].groupBy("file_path").agg(F.max("tempo").alias("tempo")), "file_path", "left")
+    rows = rows if "bpm_analyzed_at" in rows.columns else rows.withColumn("bpm_analyzed_at", F.lit(None).cast("string"))
+    return Output({}, {"tempo": upkeep.analysis_state(rows, "bpm_analyzed_at").where("state != 'done'")})
+
+
+def forge(tables: Tables) -> Output:
+    """Files to measure, and files measured before whose tags are still to be written."""
+    rows = tables["archive"] if "rg_tagged_at" in tables["archive"].columns else tables["archive"].withColumn("rg_tagged_at", F.lit(None).cast("string"))
+    work = upkeep.to_measure(rows, "rg_tagged_at").select("file_path", F.lit("measure").alias("work"))
+    if "tags" in tables and "lufs" in rows.columns:
+        work = work.unionByName(upkeep.to_embed(rows, "rg_tagged_at", tables["tags"]).select("file_path", F.lit("embed").alias("work")))
+    return Output({}, {"loudness_work": work})
+
+
+@needing("tags")
+def tag(tables: Tables) -> Output:
+    return Output({}, {"tag_changes": upkeep.tag_changes(tables["archive"].where(upkeep.LIVE), tables["tags"])})
+
+
+@needing("artists", "releases")
+def look_up(tables: Tables) -> Output:
+    rows = tables["archive"] if "mb_artist_id" in tables["archive"].columns else tables["archive"].withColumn("mb_artist_id", F.lit(None).cast("string"))
+    return Output({}, {"music_ids": upkeep.with_answers(rows, tables["artists"], tables["releases"])})
+
+
+@needing("listing")
+def transcode(tables: Tables) -> Output:
+    return Output({}, {"transcodes": upkeep.transcodes(tables["archive"], tables["listing"])})
+
+
+@needing("decoded")
+def check_integrity(tables: Tables) -> Output:
+    return Output({}, {"integrity": upkeep.integrity(tables["archive"], tables["decoded"])})
+
+
+def organise(tables: Tables) -> Output:
+    plan = upkeep.organised(tables["archive"].where(upkeep.LIVE)).where("verdict <> 'skip'")
+    events = plan.select(F.lit("ORGANIZE").alias("stage"), F.concat(F.lit("ORGANIZE_"), F.upper("verdict")).alias("event_type"), "file_path", F.col("file_path").alias("old_value"), F.col("target").alias("new_value"))
+    return Output({}, {"organised": plan, "events": events})
+
+
 DEFAULT: list[tuple[str, Stage]] = [
     ("health", check_health),
     ("quarantine", quarantine),
@@ -236,11 +315,42 @@ FULL: list[tuple[str, Stage]] = [
 MAINTAIN: list[tuple[str, Stage]] = [("audit", audit), ("bit_rot", bit_rot), ("loudness", loudness), ("sweep_ghosts", sweep_ghosts)]
 
 
+#: Every stage by name.
+STAGES: dict[str, Stage] = {
+    **dict(DEFAULT), **dict(FULL), **dict(MAINTAIN),
+    "preflight": preflight, "permissions": permissions, "album_art": album_art, "tempo": tempo, "forge": forge, "tag": tag, "look_up": look_up,
+    "transcode": transcode, "integrity": check_integrity, "organise": organise, "acoustic": needing("recordings")(acoustic), "review": needing("replies")(review),
+}
+
+
+def order(names: str) -> list[tuple[str, Stage]]:
+    return [(name, STAGES[name]) for name in names.split()]
+
+
+_INTAKE = "preflight ingest permissions hash_files extract health quarantine album_art normalise sanitise consolidate various_artists"
+_DEDUPE = "cross_batch near_duplicates resolve_duplicates"
+_FINISH = "canonicalise finalise tempo forge tag audit"
+_READ = "preflight ingest hash_files extract normalise sanitise"
+_CARE = f"{_READ} sweep_ghosts health integrity enrich look_up near_duplicates acoustic album_art"
+
+#: The long runs, each stage after those whose results it needs.
+RUNS: dict[str, list[tuple[str, Stage]]] = {
+    "canonical": order(f"{_INTAKE} {_DEDUPE} {_FINISH} enrich look_up"),
+    "full": order(f"{_READ} forge tag"),
+    "archive": order(f"{_CARE} tag review"),
+    "everything": order(f"{_CARE} forge tag export_plan playlists review"),
+    "maintain": order("preflight sweep_ghosts health normalise sanitise consolidate enrich look_up near_duplicates"),
+    "enrich": order("enrich look_up acoustic review"),
+    "overnight": order("sweep_ghosts health normalise enrich look_up near_duplicates review"),
+}
+
+
 def run(tables: Tables, stages: list[tuple[str, Stage]] = DEFAULT, save: Callable[[str, str, DataFrame], DataFrame] | None = None) -> tuple[Tables, dict[str, str]]:
     """Apply the stages; a stage that fails leaves the tables as they were and is reported.
 
     ``save(stage, table, df)`` writes a result and returns what later stages read, which
-    cuts lineage between stages; without it the whole pipeline is one lazy plan.
+    cuts lineage between stages; without it the whole pipeline is one lazy plan, and
+    a failure that only shows when rows are computed ends the run.
     """
     state, failed = dict(tables), {}
     keep = save or (lambda stage, name, df: df)
