@@ -39,7 +39,7 @@ def blank(x: Column) -> Column:
 
 def is_pending(x: Column) -> Column:
     """A progress stamp that isn't set: null or empty."""
-    return x.isNull() | (x == "")
+    return x.isNull() | (x.cast("string") == "")
 
 
 def any_word(x: Column, words, pattern: str = r"(?i)\b(?:{})\b") -> Column:
