@@ -561,10 +561,13 @@ def session_counts(spark, sf_dir):
 
 @query
 def organise_plan(spark, sf_dir):
-    rows = archive(spark, sf_dir).where("status = 'CATALOGUED' and id % 3 = 0")
-    place = F.concat(F.lit("/library/"), text.path_component(F.col("artist")), F.lit("/x/"), F.col("id").cast("string"))
-    rows = rows.select("id", "artist", "title", "ext", F.lit("x").alias("album"), F.when(F.col("id") % 2 == 0, place).otherwise(F.col("file_path")).alias("file_path"))
-    return upkeep.organised(rows).select(F.col("file_path"), "verdict", F.regexp_replace("target", "/[^/]*$", "").alias("folder"), F.length("target").alias("n"))
+    """Files in their place, in the right folder under another name, and elsewhere."""
+    n = lambda letter, m: F.concat(F.lit(letter), (F.col("id") % m).cast("string"))
+    rows = archive(spark, sf_dir).select("id", n("A", 5).alias("artist"), n("B", 3).alias("album"), n("t", 20).alias("title"), F.lit(".m4a").alias("ext"))
+    folder = F.concat(F.lit("/library/"), "artist", F.lit("/"), "album", F.lit("/"))
+    there = F.concat(folder, "artist", F.lit(" - "), "title", "ext")
+    path = F.when((F.col("id") < 60) & (F.col("id") % 4 == 0), there).when(F.col("id") % 4 == 1, F.concat(folder, n("w", 10**9))).otherwise(n("/in/", 10**9))
+    return upkeep.organised(rows.withColumn("file_path", path))
 
 
 @query

@@ -430,5 +430,12 @@ c AS (SELECT file_path, 'artist' AS field, tag_artist AS o, artist AS n FROM a U
 SELECT file_path, field, trim(coalesce(o, '')) AS old_value, trim(n) AS new_value FROM c WHERE trim(coalesce(n, '')) <> '' AND trim(coalesce(o, '')) <> trim(n)""")
 
 
+on_archive("organise_plan", """r AS (SELECT id, '/library/A' || id % 5 || '/B' || id % 3 || '/' AS folder, 'A' || id % 5 || ' - t' || id % 20 || '.m4a' AS name FROM archive),
+f AS (SELECT folder || name AS target, folder, CASE WHEN id < 60 AND id % 4 = 0 THEN folder || name WHEN id % 4 = 1 THEN folder || 'w' || id ELSE '/in/' || id END AS file_path FROM r),
+m AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY file_path) + CASE WHEN target IN (SELECT file_path FROM f) THEN 1 ELSE 0 END AS place FROM f WHERE file_path <> target)
+SELECT file_path, target, 'skip' AS verdict FROM f WHERE file_path = target UNION ALL
+SELECT file_path, CASE WHEN place = 1 THEN target ELSE replace(target, '.m4a', ' (' || place || ').m4a') END, CASE WHEN starts_with(file_path, folder) THEN 'rename' ELSE 'move' END FROM m""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
