@@ -19,6 +19,7 @@ text is in proportion to its length (times a logarithm), however many spans it h
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -244,6 +245,16 @@ def disclosing(rows: DataFrame, how: Disclosure) -> DataFrame | None:
     return written(reveal.select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing")
 
 
+def likely(terms: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test that all of ``n`` terms pass and few other words, by a byte for each slot of a hash; its size is bounded."""
+    slots = 1 << min(20, max(10, (16 * n).bit_length()))
+    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+    taken = bytearray(slots)
+    for i in terms.select(slot(F.col("term")).alias("slot")).distinct().toArrow().column("slot").to_pylist():
+        taken[i] = 1
+    return lambda term: F.substring(F.lit(bytes(taken)), slot(term) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def added_spans(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
     """For each key the spans of terms that give an entity away (column ``added``); written."""
     reveal = disclosing(rows, how)
@@ -251,7 +262,7 @@ def added_spans(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame
     if not n:
         return None
     other = reveal.where("elsewhere")
-    holders = lambda part, terms, n: part.select(*KEY, F.explode("terms").alias("term")).join(small(terms.select("term"), n), "term", "left_semi").select(*KEY)
+    holders = lambda part, terms, n: part.select(*KEY, F.explode(F.filter("terms", likely(terms, n))).alias("term")).join(small(terms.select("term"), n), "term", "left_semi").select(*KEY)
     hits = holders(rows.where(F.size("base") > 0), reveal, n).unionByName(holders(rows.where(F.size("base") == 0), other, other.count()))
     hits = written(hits.distinct(), "pii-hits")
     spark = docs.sparkSession
