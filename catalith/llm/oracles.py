@@ -137,6 +137,8 @@ def _personal_data() -> str:
     names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " ELSE 'term' END"
     listed = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
     word = r"[\p{L}\p{M}\p{N}_]+"
+    # full lower case, as the operator's; lower() here knows one letter's short form only
+    lowered = "lower(replace(w, '\u0130', 'i\u0307'))"
     return rf"""
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 b AS MATERIALIZED ({' UNION ALL '.join(found)}),
@@ -144,7 +146,7 @@ o AS (SELECT row, text, s, coalesce(max(e) OVER (PARTITION BY row ORDER BY s, ki
 g AS (SELECT row, before AS a, text[before + 1:s] AS part FROM o WHERE before < s
   UNION ALL SELECT row, max(e), any_value(text)[max(e) + 1:] FROM b GROUP BY row
   UNION ALL SELECT row, 0, text FROM t WHERE row NOT IN (SELECT row FROM b)),
-d AS MATERIALIZED (SELECT DISTINCT row, lower(w) AS term FROM (SELECT row, unnest(regexp_extract_all(part, '{word}')) AS w FROM g)),
+d AS MATERIALIZED (SELECT DISTINCT row, {lowered} AS term FROM (SELECT row, unnest(regexp_extract_all(part, '{word}')) AS w FROM g)),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
 m AS (SELECT DISTINCT row, kind || ':' || CASE WHEN kind >= 2 THEN regexp_replace(v, '[^0-9]', '', 'g') ELSE lower(v) END AS entity FROM b),
 e AS (SELECT entity, count(*) AS n_e FROM m GROUP BY entity),
@@ -155,7 +157,7 @@ r AS MATERIALIZED (SELECT DISTINCT term FROM q WHERE given >= 0.8 AND given >= 2
 h AS (SELECT row, a, regexp_extract_all(part, '{word}') AS ws, string_split_regex(part, '{word}') AS gs FROM g WHERE row IN (SELECT row FROM d JOIN r USING (term))),
 u AS (SELECT row, a, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS gap, unnest(range(len(ws))) AS i FROM h),
 x AS (SELECT row, w, a + sum(length(gap) + length(w)) OVER (PARTITION BY row, a ORDER BY i) AS e FROM u),
-a AS (SELECT row, kind, s, e FROM b UNION ALL SELECT row, 4, CAST(e AS INTEGER) - CAST(length(w) AS INTEGER), CAST(e AS INTEGER) FROM x WHERE lower(w) IN (SELECT term FROM r))
+a AS (SELECT row, kind, s, e FROM b UNION ALL SELECT row, 4, CAST(e AS INTEGER) - CAST(length(w) AS INTEGER), CAST(e AS INTEGER) FROM x WHERE {lowered} IN (SELECT term FROM r))
 SELECT t.doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(kinds))},
   sha256(coalesce({listed} FILTER (kind < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans
 FROM t LEFT JOIN a USING (row) GROUP BY t.row, t.doc_id
