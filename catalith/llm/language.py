@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import map_batches, written
+from catalith.llm.common import map_batches, tidy, written
 
 #: Languages whose sample shares are broadcast, at most.
 MOST_LANGUAGES = 10_000
@@ -156,6 +156,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     words.  Ties go to the first language in code point order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    tidy()  # what the driver fitted the model with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
@@ -178,6 +179,7 @@ def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: flo
     """The rows of ``docs`` whose language can be told, unchanged: not ``und``, and a score of ``least`` or more."""
     model = fit(docs, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    tidy()  # what the driver fitted the model with
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -214,8 +214,11 @@ def alike() -> list[Column]:
     return [F.bit_xor(F.xxhash64(F.lit(seed), *KEY)).alias(f"h{seed}") for seed in (1, 2)]
 
 
-def disclosing(rows: DataFrame, how: Disclosure) -> DataFrame | None:
-    """(term, elsewhere) of terms that give an entity away; elsewhere: also in rows without any entity."""
+def disclosing(rows: DataFrame, how: Disclosure) -> tuple[DataFrame, DataFrame] | None:
+    """(term, elsewhere) of terms that give an entity away; elsewhere: also in rows without any entity.
+
+    With them (term, key) of rows with an entity, for all of these terms and more.
+    """
     held = rows.where(F.size("base") > 0)
     held = held.select(*KEY, F.array_distinct(F.transform("base", entity)).alias("entities"), "terms")
     held = written(held.groupBy(*KEY).agg(F.count("*").alias("rows"), F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms")), "pii-held")
@@ -242,28 +245,35 @@ def disclosing(rows: DataFrame, how: Disclosure) -> DataFrame | None:
     given = (F.col("n_et") + how.smooth * usual) / (F.col("n_t") + how.smooth)
     found = pairs.where((given >= reach) & (given >= 2.0**how.told * usual)).select("n_t", F.col("t1").alias("h1"), F.col("t2").alias("h2")).distinct()
     reveal = terms.join(found, ["n_t", "h1", "h2"]).select("term").join(words, "term")
-    return written(reveal.select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing")
+    return written(reveal.select("term", (F.col("n_t") > F.col("n_held")).alias("elsewhere")), "pii-disclosing"), places
 
 
 def likely(terms: DataFrame, n: int) -> Callable[[Column], Column]:
-    """A test that all of ``n`` terms pass and few other words, by a byte for each slot of a hash; its size is bounded."""
+    """A test that all of ``n`` terms pass and few other words, by a bit for each slot of a hash.
+
+    The bits, seven in a byte, are a literal.  The driver prints a literal in every
+    version of a plan, in hexadecimals, so it has 150 kB at most.
+    """
     slots = 1 << min(20, max(10, (16 * n).bit_length()))
     slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
-    taken = bytearray(slots)
+    taken = bytearray(-(-slots // 7))
     for i in terms.select(slot(F.col("term")).alias("slot")).distinct().toArrow().column("slot").to_pylist():
-        taken[i] = 1
-    return lambda term: F.substring(F.lit(bytes(taken)), slot(term) + 1, F.lit(1)) == F.lit(b"\x01")
+        taken[i // 7] |= 1 << i % 7
+    byte = lambda i: F.ascii(F.substring(F.lit(bytes(taken)), ((i - i % 7) / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    return lambda term: F.getbit(byte(slot(term)), slot(term) % 7) == 1
 
 
 def added_spans(docs: DataFrame, rows: DataFrame, how: Disclosure) -> DataFrame | None:
     """For each key the spans of terms that give an entity away (column ``added``); written."""
-    reveal = disclosing(rows, how)
+    reveal, places = disclosing(rows, how) or (None, None)
     n = reveal.count() if reveal is not None else 0
     if not n:
         return None
-    other = reveal.where("elsewhere")
-    holders = lambda part, terms, n: part.select(*KEY, F.explode(F.filter("terms", likely(terms, n))).alias("term")).join(small(terms.select("term"), n), "term", "left_semi").select(*KEY)
-    hits = holders(rows.where(F.size("base") > 0), reveal, n).unionByName(holders(rows.where(F.size("base") == 0), other, other.count()))
+    hits = places.join(small(reveal.select("term"), n), "term", "left_semi").select(*KEY)
+    other = reveal.where("elsewhere").select("term")
+    if m := other.count():
+        words = rows.where(F.size("base") == 0).select(*KEY, F.explode(F.filter("terms", likely(other, m))).alias("term"))
+        hits = hits.unionByName(words.join(small(other, m), "term", "left_semi").select(*KEY))
     hits = written(hits.distinct(), "pii-hits")
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # texts cost time, whatever their bytes
