@@ -40,6 +40,18 @@ def test_bm25_is_exact_in_many_shards(spark, monkeypatch):
         assert got.get(q.query_id, []) == brute_bm25(rows, q.text, 7)
 
 
+def test_bm25_keeps_the_best_of_many_shards_in_a_task(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(40)
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    made, batches = [], bm25.map_batches
+    monkeypatch.setattr(bm25, "map_batches", lambda *a: (made.append(batches(*a)), made[-1])[1])
+    got = bm25.search(docs, queries, k=2).collect()
+    assert len(got) <= made[-1].count() <= bm25.PARTS * queries.count() * 2  # a row for each of 40 shards before
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for q in queries.collect():
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q.query_id] == brute_bm25(rows, q.text, 2)
+
+
 def one_shard(lists, terms):
     rows = [r for b in bm25.shard_batches("s", list(range(len(lists))), [np.array(x, np.uint32) for x in lists], terms) for r in b.to_pylist()]
     return bm25.Shard(rows[0], rows[0]["df"] / len(lists))
@@ -78,6 +90,18 @@ def test_bm25_many_terms_at_once_are_exact(monkeypatch):
             assert list(ids) == list(want) and np.allclose(scores, found, atol=2e-6)
 
 
+def test_bm25_least_leaves_out_only_what_is_below(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [np.minimum(rng.zipf(1.3, rng.integers(1, 300)), 999) for _ in range(700)]
+    shard = one_shard(words, [b"%d" % i for i in range(1000)])
+    queries = [(rows, rng.random(len(rows)) * 9) for rows in (np.unique(words[i]) for i in range(30))]
+    want = [shard.top(rows, weights, 10) for rows, weights in queries]
+    least = [float(scores[min(4, len(scores) - 1)]) for _, scores in want]
+    for (rows, weights), bar, (ids, scores), many in zip(queries, least, want, shard.top_many(queries, 10, least), strict=True):
+        for got in (many, shard.top(rows, weights, 10, bar)):
+            assert list(got[0][got[1] >= bar]) == list(ids[scores >= bar])
+
+
 def test_bm25_rows_with_one_query_id_are_one_query(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "c c"), (3, "a")], "doc_id long, text string")
     twice = bm25.search(docs, spark.createDataFrame([(1, "a"), (1, "c"), (None, "a")], "query_id long, text string"), k=3)
