@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from catalith.llm import bm25, nearest
@@ -90,6 +91,55 @@ def test_bm25_many_terms_at_once_are_exact(monkeypatch):
             assert list(ids) == list(want) and np.allclose(scores, found, atol=2e-6)
 
 
+def test_bm25_index_cuts_words_as_queries_are_cut():
+    rng = np.random.default_rng(5)
+    letters = list(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u3000\x00ABZz\xc9\u0130\xdf\U0001d504a")
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(rng.integers(0, 6))]
+        counts, found = bm25.cut(pa.array(["x  y", *texts], pa.string()).slice(1))
+        assert counts.tolist() == [len(bm25.words(t)) for t in texts] and found.to_pylist() == [w for t in texts for w in bm25.words(t)]
+
+
+def test_bm25_words_are_found_by_their_digests():
+    terms = sorted({bytes([a, *b]) for a in range(33, 127) for b in (b"", b"a", b"aa", b"ab", b"ba", b"x" * 500)})
+    flat, widths = np.frombuffer(b"".join(terms), np.uint8), np.array([len(t) for t in terms])
+    first, second = bm25.digests(flat, widths)
+    assert len(set(first.tolist())) == len(set(second.tolist())) == len(terms)
+    shard = one_shard([list(range(len(terms) // 2))], terms[: len(terms) // 2])
+    assert shard.rows(first, second).tolist() == [i if i < len(terms) // 2 else -1 for i in range(len(terms))]
+
+
+def test_bm25_a_shard_goes_to_a_task_once(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "PACK", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    asked, batches = [], bm25.map_batches
+    monkeypatch.setattr(bm25, "map_batches", lambda df, *a: (asked.append(df), batches(df, *a))[1])
+    got = bm25.search(docs, queries, k=3).collect()
+    pairs = asked[-1].select("shard", "pack", F.col("docs").isNotNull().alias("full"), F.spark_partition_id().alias("task")).collect()
+    tasks = {(r.shard, r.task) for r in pairs}
+    assert len(pairs) > len(tasks) and sum(r.full for r in pairs) == len(tasks)  # each pack brought the shard's postings again before
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for q in queries.collect():
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q.query_id] == brute_bm25(rows, q.text, 3)
+
+
+def test_bm25_terms_in_the_matrix_or_not_are_exact(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [np.minimum(rng.zipf(1.3, rng.integers(1, 300)), 999) for _ in range(700)]
+    held = []
+    for dense, cells in ((0, 8_000_000), (400, 8_000_000), (10**9, 8_000_000), (10**9, 700 * 30), (10**9, 1)):
+        monkeypatch.setattr(bm25, "DENSE", dense)
+        monkeypatch.setattr(bm25, "CELLS", cells)
+        shard = one_shard(words, [b"%d" % i for i in range(1000)])
+        queries = [(rows, rng.random(len(rows)) * 9) for rows in (np.unique(words[i]) for i in range(40))]
+        for (rows, weights), (ids, scores) in zip(queries, shard.top_many(queries, 10), strict=True):
+            want, found = shard.top(rows, weights, 10)
+            assert list(ids) == list(want) and np.allclose(scores, found, atol=2e-6)
+        held.append(len(shard.common()[1]))
+    assert held[0] == held[4] == 0 < held[1] < held[2] and held[3] == 30
+
+
 def test_bm25_least_leaves_out_only_what_is_below(monkeypatch):
     rng = np.random.default_rng(4)
     words = [np.minimum(rng.zipf(1.3, rng.integers(1, 300)), 999) for _ in range(700)]
